@@ -13,5 +13,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.order_minhash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_order_minhash, op9_quality_rules)}
 ORACLES: dict[str, str] = {}
