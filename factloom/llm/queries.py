@@ -13,11 +13,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.kd_shards import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.order_minhash import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_order_minhash, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_kd_shards, op5_order_minhash, op9_quality_rules)}
 ORACLES: dict[str, str] = {}
