@@ -1,0 +1,26 @@
+"""Splitting of texts before byte-level BPE, with each distinct piece handled once.
+
+A cell is an optional blank and a longest run of characters that are not white space, or a run of white space. Every match of the tokenizers' pattern lies within one cell, so a cell can be split and encoded alone and its result be kept.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable
+
+#: Unicode's White_Space, which the tokenizers' \s means (Python's \s has four control characters more).
+WHITE = "\t-\r \x85\xa0  -     　"
+CELL = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Cells and their results that a worker keeps at most; beyond it, it starts anew.
+KEPT = 250_000
+
+
+def cells(text: str) -> list[str]:
+    return CELL.findall(text)
+
+
+def missing(cell_lists: Iterable[list[str]], kept: dict) -> list[str]:
+    new: set[str] = set()
+    for x in cell_lists:
+        new.update(x)
+    return [c for c in new if c not in kept]

@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.llm.common import table
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from factloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.quality import quality_rules
 
@@ -19,11 +27,19 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from factloom.llm.bpe_sql import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.order_minhash import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_kd_shards, op5_order_minhash, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_kd_shards, op4_byte_bpe, op5_order_minhash, op6_packing, op9_quality_rules)}
 ORACLES: dict[str, str] = {}
