@@ -15,6 +15,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.ngram_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.quality import quality_rules
 
@@ -41,5 +47,5 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_kd_shards, op4_byte_bpe, op5_order_minhash, op6_packing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_kd_shards, op4_byte_bpe, op5_order_minhash, op6_packing, op8_ngram_join, op9_quality_rules)}
 ORACLES: dict[str, str] = {}
