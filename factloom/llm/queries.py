@@ -27,6 +27,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.kd_shards import shard_documents
 
@@ -47,5 +53,11 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_kd_shards, op4_byte_bpe, op5_order_minhash, op6_packing, op8_ngram_join, op9_quality_rules)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op3_kd_shards, op4_byte_bpe, op5_order_minhash, op6_packing, op8_ngram_join, op9_quality_rules, op10_toxicity)}
 ORACLES: dict[str, str] = {}
