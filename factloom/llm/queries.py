@@ -15,6 +15,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.wrappers import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.ngram_join import jaccard_join
 
@@ -33,6 +39,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.licences import digest, scan_documents
+
+    return digest(scan_documents(table(spark, sf_dir, "documents")))
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.kd_shards import shard_documents
 
@@ -59,5 +71,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_kd_shards, op4_byte_bpe, op5_order_minhash, op6_packing, op8_ngram_join, op9_quality_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_licences, op3_kd_shards, op4_byte_bpe, op5_order_minhash, op6_packing, op7_main_text, op8_ngram_join, op9_quality_rules, op10_toxicity)}
 ORACLES: dict[str, str] = {}
