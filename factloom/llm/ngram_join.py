@@ -267,11 +267,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     d = cut(sketched(docs))
     texts = d.groupBy("s1", "s2", "t").agg(F.min("doc_id").alias("d"), F.count("*").alias("c"))
-    sets = texts.groupBy("s1", "s2").agg(F.min("d").alias("d"), F.count("*").alias("weight"))
-    sets = sets.withColumn("node", F.coalesce("d", "s1"))
-    mh = d.filter("n > 0").groupBy("s1", "s2").agg(F.any_value("mh").alias("mh"))
-    nodes = cut(sets.join(mh, ["s1", "s2"]).select("node", "mh"))
-    sets = cut(sets)
+    # A set's first hash is its node; both are compared wherever rows of a set meet.
+    sets = cut(texts.groupBy("s1", "s2").agg(F.min("d").alias("d"), F.count("*").alias("weight")).withColumn("node", F.col("s1")))
+    nodes = cut(d.filter("n > 0").groupBy(F.col("s1").alias("node")).agg(F.any_value("mh").alias("mh")))
     family = components(candidates(nodes, threshold, recall))
     family = cut(family.join(sets.select(F.col("node").alias("id"), "weight", "s1", "s2"), "id").select(F.col("id").alias("node"), "root", "weight", "s1", "s2"))
     # The sets of these nodes alone are made again from their texts: one document of each.
@@ -286,6 +284,29 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     found = cut(by_group(dealt, "pair", _verify(threshold), "a long, b long, links long"))
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("b is not null").select("a", "b"))
-    label = sets.join(classes.withColumnRenamed("id", "node"), "node").join(links, "node", "left").select("s1", "s2", "root", "links")
-    rows = d.select("doc_id", "s1", "s2", "t").join(texts.select("s1", "s2", "t", "c"), ["s1", "s2", "t"]).join(sets.select("s1", "s2", "weight", "node"), ["s1", "s2"]).join(label, ["s1", "s2"], "left")
-    return rows.select("doc_id", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), (F.col("c") - 1).cast("long").alias("n_copies"))
+    label = cut(sets.join(classes.withColumnRenamed("id", "node"), "node").join(links, "node", "left").select("s1", "s2", "d", "root", "links"))
+    label = label.join(label.groupBy("root").agg(F.min("d").alias("least")), "root").drop("d")
+    same = texts.select("s1", "s2", "t", "c").join(sets.select("s1", "s2", "weight", F.col("d").alias("own"), "node"), ["s1", "s2"]).join(label, ["s1", "s2"], "left")
+    same = same.select(
+        "s1",
+        "s2",
+        "t",
+        F.coalesce("root", "node").alias("class_key"),
+        F.coalesce("least", "own", "root", "node").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
+        (F.col("c") - 1).cast("long").alias("n_copies"),
+    )
+    return d.select("doc_id", "s1", "s2", "t").join(same, ["s1", "s2", "t"]).select("doc_id", "class_id", "n_links", "n_copies", "class_key", F.col("t").alias("text_key"))
+
+
+def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The document of least doc_id of each class, with all its columns. Of rows with equal doc_id and text one stays."""
+    rows = cut(jaccard_join(docs, threshold, recall).groupBy("class_key", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("b")
+    keep = rows.groupBy("class_key").agg(best).select(F.col("b.doc_id").alias("_id"), F.col("b.text_key").alias("_t"), F.col("b.n").alias("_n"))
+    marked = docs.withColumn("_t", text_hash(F.coalesce("text", F.lit("")))).withColumn("_id", F.col("doc_id").cast("long"))
+    no_id = F.lit(-(1 << 62)).cast("long")
+    keyed = lambda df: df.withColumn("_id", F.coalesce("_id", no_id))
+    kept = keyed(marked).join(keyed(keep), ["_id", "_t"])
+    single = kept.filter("_n = 1").select(*docs.columns)
+    return single.unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_t"]).select(*docs.columns))

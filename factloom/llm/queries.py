@@ -24,7 +24,7 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.ngram_join import jaccard_join
 
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
