@@ -1,3 +1,322 @@
-"""Queries by name; each takes (spark, sf_dir)."""
+"""Queries by name; each takes (spark, sf_dir) and covers a family of operators over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions.evidence import ground, matching_form
+from factloom.functions.naming import predicate_cluster, subject_key
+from factloom.functions.periods import compare_periods, normalize_period
+from factloom.functions.values import normalize_values, parse_values
+from factloom.operators import views
+from factloom.operators.classify import relationships, undecided
+from factloom.operators.facts import facts_from_answers, ungrounded_events
+from factloom.operators.pairing import candidate_pairs
+from factloom.operators.salience import salient_pages
+from factloom.operators.store import rebuilt_documents, upsert
+from factloom.plans.pipeline import relationship_rows
+from factloom.plans.synthetic import answers, line_facts, order_facts, raw_values, text_facts
+from factloom.sources.pages import document_id, documents_of, pages_from_text, select_pages
 
 QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query
+def relate_flagship(spark, sf_dir):
+    """Grounded facts to relationships: the whole second half of the pipeline."""
+    return relationship_rows(order_facts(spark, sf_dir)).select("id", "fact_a_id", "fact_b_id", "relationship_type", "confidence", "contextual_difference")
+
+
+@query
+def parse_numeric(spark, sf_dir):
+    return parse_values(raw_values(spark, sf_dir), "raw_value").select("id", "raw_value", "value.num", "value.unit", "value.value_type")
+
+
+@query
+def normalize_context(spark, sf_dir):
+    """Values whose unit stands apart, or beside the number in the quote or on the page, or whose separator became a point."""
+    r = raw_values(spark, sf_dir).filter((F.col("n") + F.col("k")) % 7 == 6)
+    kind, short = F.col("k") % 5, F.concat((F.col("k") % 900 + 100).cast("string"), F.lit(".250"))
+    r = r.select(
+        "id",
+        F.when(kind == 0, F.col("raw_value")).when(kind == 3, short).otherwise((F.col("k") % 1000).cast("string")).alias("raw_value"),
+        F.when(kind.isin(0, 1), F.lit("₹ Cr")).when(kind == 2, F.lit("INR million")).when(kind == 3, F.lit("INR crore")).alias("raw_unit"),
+        F.when(kind == 3, F.lit("Rs table 7,224 and 8,142")).when(kind == 4, F.concat(F.lit("it was Rs "), (F.col("k") % 1000).cast("string"), F.lit(" bn in all"))).alias("evidence_quote"),
+        F.lit(None).cast("string").alias("source_context"),
+    )
+    return normalize_values(r).select("id", "raw_value", "value.num", "value.text", "value.unit", "value.value_type")
+
+
+@query
+def ground_text_norm(spark, sf_dir):
+    form = matching_form(F.concat(F.lit("“Rs” – ‘₹5’ (1, 2) "), F.col("text")))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.length(form).cast("long").alias("n"), F.md5(form).alias("form_md5"))
+
+
+def _quotes(spark, sf_dir):
+    """Each document with a quote: even ids one of its own passages, odd ones a benchmark passage."""
+    d, b = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
+    items = b.agg(F.count("*").alias("items")).withColumn("_one", F.lit(1))
+    d = d.withColumn("_one", F.lit(1)).join(items, "_one").withColumn("item_id", F.col("doc_id") % F.col("items"))
+    b = b.select("item_id", F.col("text").alias("passage"))
+    own = F.concat(F.substring("text", 21, 40), F.lit("\n  (3) "), F.substring("text", 61, 40))
+    return d.join(b, "item_id", "left").select("doc_id", F.col("text").alias("page_text"), F.when(F.col("doc_id") % 2 == 0, own).otherwise(F.col("passage")).alias("evidence_quote"))
+
+
+@query
+def ground_exact(spark, sf_dir):
+    g = ground(_quotes(spark, sf_dir)).filter("grounding.score = 1.0")
+    return g.select("doc_id", "grounding.is_grounded")
+
+
+@query
+def ground_fuzzy(spark, sf_dir):
+    """A passage of the document with foreign words put in."""
+    d = _t(spark, sf_dir, "documents").filter(F.length("text") >= 60)
+    mixed = F.concat(F.substring("text", 1, 60), F.when(F.col("doc_id") % 3 == 0, F.lit(" qqxx ")).otherwise(F.lit(" qqxx wwzz vvkk ")), F.substring("text", 61, 50))
+    g = ground(d.select("doc_id", F.col("text").alias("page_text"), mixed.alias("evidence_quote")))
+    return g.select("doc_id", "grounding.is_grounded", F.col("grounding.score").alias("score"))
+
+
+_PREDICATES = ("Total Revenue", "operating-profit", "pin codes covered", "Team Size", "active customers", "Registered Office", "corporate hq address", "office", "Board Member", "Real GDP growth", "CPI", "annual shipment volume count", "freight", "Something else")
+
+
+@query
+def predicate_clusters(spark, sf_dir):
+    names = F.array(*(F.lit(p) for p in _PREDICATES))
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.element_at(names, (F.col("p_partkey") % len(_PREDICATES) + 1).cast("int")), F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("p_type")))).alias("predicate"))
+    return p.select("p_partkey", "predicate", predicate_cluster(F.col("predicate")).alias("cluster"))
+
+
+@query
+def subject_keys(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    subject = F.concat(F.lit("The "), F.col("c_name"), F.when(F.col("c_custkey") % 3 == 0, F.lit(" Limited")).when(F.col("c_custkey") % 3 == 1, F.lit(" Pvt. Ltd")).otherwise(F.lit(", Inc")))
+    return c.select("c_custkey", subject.alias("subject"), subject_key(subject).alias("subject_key"))
+
+
+def _periods(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
+    yy = F.lpad((F.col("y") % 100).cast("string"), 2, "0")
+    kind = F.col("o_orderkey") % 6
+    text = F.when(kind == 0, F.concat(F.lit("FY"), yy)).when(kind == 1, F.concat(F.lit("Fiscal  "), yy)).when(kind == 2, F.lit("As of  March 31, 2024")).when(kind == 3, F.lit("FY2023-24")).when(kind == 4, F.lit("Q4 FY24"))
+    return o.select("o_orderkey", text.alias("period"), F.concat(F.lit("fy "), yy).alias("other"))
+
+
+@query
+def time_normalize(spark, sf_dir):
+    return _periods(spark, sf_dir).select("o_orderkey", "period", normalize_period(F.col("period")).alias("normalized"))
+
+
+@query
+def time_compare(spark, sf_dir):
+    p = _periods(spark, sf_dir).withColumn("c", compare_periods(F.col("period"), F.col("other")))
+    return p.select("o_orderkey", "c.same", "c.reason")
+
+
+def _pair_ids(facts):
+    return candidate_pairs(facts).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+
+
+@query
+def match_exact(spark, sf_dir):
+    f = order_facts(spark, sf_dir)
+    return _pair_ids(f.filter("cast(substring(id, 3) as bigint) % 3 <> 1"))
+
+
+@query
+def match_fallback(spark, sf_dir):
+    f = order_facts(spark, sf_dir)
+    return _pair_ids(f.filter("cast(substring(id, 3) as bigint) % 3 = 1"))
+
+
+@query
+def match_closest(spark, sf_dir):
+    return _pair_ids(line_facts(spark, sf_dir))
+
+
+@query
+def match_no_intra(spark, sf_dir):
+    """Facts of one document are never paired."""
+    return _pair_ids(line_facts(spark, sf_dir).filter("source_document_id = 'doc-B'"))
+
+
+def _edges(spark, sf_dir):
+    return relationships(candidate_pairs(order_facts(spark, sf_dir)))
+
+
+@query
+def classify_numeric(spark, sf_dir):
+    return _edges(spark, sf_dir).select("id", "relationship_type", "confidence")
+
+
+@query
+def classify_scope(spark, sf_dir):
+    return _edges(spark, sf_dir).filter("contextual_difference like 'Standalone%'").select("id", "relationship_type", "contextual_difference", "short_explanation")
+
+
+@query
+def classify_address(spark, sf_dir):
+    e = relationships(candidate_pairs(text_facts(spark, sf_dir).filter("predicate = 'office_address'")))
+    return e.select("id", "relationship_type", "confidence")
+
+
+@query
+def classify_director(spark, sf_dir):
+    e = relationships(candidate_pairs(text_facts(spark, sf_dir).filter("predicate = 'board_director'")))
+    return e.select("id", "relationship_type", "confidence", "contextual_difference")
+
+
+@query
+def undecided_pairs(spark, sf_dir):
+    u = undecided(candidate_pairs(text_facts(spark, sf_dir)))
+    return u.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+
+
+@query
+def relationship_counts(spark, sf_dir):
+    return views.relationship_counts(_edges(spark, sf_dir))
+
+
+@query
+def corpus_metrics(spark, sf_dir):
+    f = order_facts(spark, sf_dir)
+    return views.corpus_metrics(f.select("source_document_id").distinct(), f)
+
+
+@query
+def doc_counts(spark, sf_dir):
+    return views.document_counts(order_facts(spark, sf_dir))
+
+
+@query
+def run_summary(spark, sf_dir):
+    return views.summary(order_facts(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@query
+def seed_rebuild(spark, sf_dir):
+    return rebuilt_documents(order_facts(spark, sf_dir)).drop("warnings", "created_at")
+
+
+@query
+def provenance(spark, sf_dir):
+    return views.provenance_check(order_facts(spark, sf_dir))
+
+
+@query
+def salient_page_choice(spark, sf_dir):
+    return salient_pages(pages_from_text(_t(spark, sf_dir, "documents")), 8).select("document_id", "page_number", "char_count")
+
+
+@query
+def chosen_pages(spark, sf_dir):
+    """Explicit page lists for some documents, all pages of the others."""
+    p = pages_from_text(_t(spark, sf_dir, "documents"))
+    wanted = p.filter("page_number = 1 and cast(document_id as bigint) % 2 = 0").select("source_filename", F.array(F.lit(2), F.lit(5), F.lit(900)).alias("wanted"))
+    return select_pages(p, wanted).select("document_id", "page_number", "char_count")
+
+
+@query
+def low_text_warnings(spark, sf_dir):
+    p = pages_from_text(_t(spark, sf_dir, "documents"))
+    return p.filter(F.size("warnings") > 0).select("document_id", "page_number", F.element_at("warnings", 1).alias("warning"))
+
+
+@query
+def document_rows(spark, sf_dir):
+    d = documents_of(pages_from_text(_t(spark, sf_dir, "documents")))
+    return d.select("id", "filename", "page_count", "processed_pages", F.size("warnings").cast("long").alias("n_warnings"), F.element_at(F.when(F.size("warnings") > 0, F.col("warnings")), 1).alias("first_warning"))
+
+
+@query
+def doc_id_hash(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", document_id(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("document_id"))
+
+
+@query
+def facts_search(spark, sf_dir):
+    return views.search_facts(order_facts(spark, sf_dir), "TURNOVER", filename="B.pdf", grounded=True).select("id", "predicate")
+
+
+@query
+def rels_search(spark, sf_dir):
+    return views.search_relationships(_edges(spark, sf_dir), "order 1", "RECONCILABLE").select("id")
+
+
+@query
+def facts_by_doc(spark, sf_dir):
+    return order_facts(spark, sf_dir).filter("source_document_id = 'doc-A' and is_grounded").select("id", "page_number", "norm_num").orderBy("page_number", "id")
+
+
+@query
+def ungrounded(spark, sf_dir):
+    return views.search_facts(order_facts(spark, sf_dir), grounded=False).select("id", "confidence", "extraction_notes")
+
+
+@query
+def fact_cards(spark, sf_dir):
+    return views.fact_cards(order_facts(spark, sf_dir))
+
+
+@query
+def document_audit(spark, sf_dir):
+    return views.document_audit(rebuilt_documents(order_facts(spark, sf_dir)))
+
+
+@query
+def topn_sample(spark, sf_dir):
+    """The report of the first fifteen facts."""
+    return views.first_facts(order_facts(spark, sf_dir), 15).select("id", "source_filename", "page_number")
+
+
+@query
+def upsert_facts(spark, sf_dir):
+    f = order_facts(spark, sf_dir).select("id", "raw_value", "evidence_quote", "page_number", "confidence")
+    k = F.substring("id", 3, 20).cast("long")
+    old = f.filter(k % 3 != 0)
+    new = f.filter(k % 3 != 1).withColumns({"raw_value": F.concat(F.lit("new "), F.col("raw_value")), "evidence_quote": F.lit("new"), "confidence": F.lit(0.5)})
+    return upsert(old, new, ("page_number", "evidence_quote"))
+
+
+@query
+def upsert_documents(spark, sf_dir):
+    d = rebuilt_documents(order_facts(spark, sf_dir)).select("id", "filename", "page_count", "processed_pages", "extracted_facts_count")
+    new = d.withColumns({"filename": F.lit("renamed.pdf"), "extracted_facts_count": F.col("extracted_facts_count") + 1}).unionByName(d.withColumns({"id": F.concat("id", F.lit("-2"))}))
+    return upsert(d, new, ("filename", "page_count"))
+
+
+@query
+def facts_ingest(spark, sf_dir):
+    facts, _ = facts_from_answers(answers(spark, sf_dir))
+    return facts.select("source_document_id", "predicate", "norm_num", "unit", "value_type", "comparison_key", "is_grounded", "confidence")
+
+
+@query
+def failure_events(spark, sf_dir):
+    _, events = facts_from_answers(answers(spark, sf_dir))
+    return events.select("document_filename", "page_number", "failure_type", "what_happened")
+
+
+@query
+def event_audit(spark, sf_dir):
+    return views.event_audit(ungrounded_events(order_facts(spark, sf_dir)))
+
+
+@query
+def json_export(spark, sf_dir):
+    """Facts as JSON documents, read again."""
+    f = order_facts(spark, sf_dir).select("id", "subject", "norm_num", "is_grounded")
+    lines = f.select("id", F.to_json(F.struct("id", "subject", "norm_num", "is_grounded")).alias("doc"))
+    back = lines.select(F.from_json("doc", "id string, subject string, norm_num double, is_grounded boolean").alias("x"))
+    return back.select("x.*")
