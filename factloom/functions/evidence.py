@@ -44,4 +44,4 @@ def ground(df: DataFrame, page: str = "page_text", quote: str = "evidence_quote"
         .when(score >= min_overlap, verdict(True, F.round(score, 3), F.concat(F.lit("Partial fuzzy grounding ("), percent, F.lit("% token overlap)"))))
         .otherwise(verdict(False, F.round(score, 3), F.concat(F.lit("Ungrounded: only "), percent, F.lit("% overlap with source page"))))
     )
-    return df.select(*keep, settled(result).alias(out))
+    return settled(df, keep, result, ("is_grounded", "score", "note"), out)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,11 @@ def contains_any(c: Column, words) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
 
 
-def settled(c: Column) -> Column:
-    """c as a generated column: filters on it stay above it, so that a costly c is computed once a row and not again inside each of them."""
-    return F.explode(F.array(c))
+def settled(df: DataFrame, keep: list[str], result: Column, fields: tuple[str, ...], out: str) -> DataFrame:
+    """The columns in keep, and out: the struct result with these fields, made by a generator. Filters on it stay above it, so that a costly result is computed once a row and not again inside each of them. A null result gives null fields."""
+    names = [f"_settled_{f}" for f in fields]
+    made = df.select(*keep, F.inline(F.array(result)).alias(*names))
+    return made.select(*keep, F.struct(*(F.col(n).alias(f) for n, f in zip(names, fields, strict=True))).alias(out))
 
 
 def literal_pattern(c: Column) -> Column:

@@ -106,7 +106,7 @@ def parse_values(df: DataFrame, raw: str | Column, out: str = "value") -> DataFr
         result = result.when(hit.isNotNull(), _read(hit, low, rupee, dollar, (m.rupee, m.dollar, m.other)))
     sentence = (F.col("_words") >= 3) & ~rupee & ~dollar
     result = result.when(sentence, _value(None, None, "text")).when(F.col("_plain").isNotNull(), _read(F.col("_plain"), low, rupee, dollar, PLAIN))
-    return df.select(*(k for k in keep if k != out), settled(result.otherwise(_value(None, None, "text"))).alias(out))
+    return settled(df, [k for k in keep if k != out], result.otherwise(_value(None, None, "text")), ("num", "unit", "value_type"), out)
 
 
 def normalize_values(df: DataFrame, raw: str = "raw_value", unit: str = "raw_unit", quote: str = "evidence_quote", context: str = "source_context", out: str = "value") -> DataFrame:
@@ -142,4 +142,4 @@ def normalize_values(df: DataFrame, raw: str = "raw_value", unit: str = "raw_uni
     no_text = F.lit(None).cast("string").alias("text")
     number = F.struct(p["num"].alias("num"), no_text, p["unit"].alias("unit"), p["value_type"].alias("value_type"))
     text = F.struct(F.lit(None).cast("double").alias("num"), strip(collapse(F.col("_r"))).alias("text"), F.coalesce(F.nullif(F.col("_u"), F.lit("")), F.lit("text")).alias("unit"), F.lit("text").alias("value_type"))
-    return df.select(*keep, settled(F.when(p["num"].isNotNull(), number).otherwise(text)).alias(out))
+    return settled(df, keep, F.when(p["num"].isNotNull(), number).otherwise(text), ("num", "text", "unit", "value_type"), out)
