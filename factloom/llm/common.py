@@ -30,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame, rows: int = 100_000) -> tuple[DataFrame, int]:
+    """As cut(), with the number of rows; no more partitions are left than rows need, so that small tables don't make many tiny shuffle files."""
+    c = cut(df)
+    n = c.count()
+    return c.coalesce(n // rows + 1), n
+
+
 def double_array(values) -> Column:
     """A constant array of doubles. It is given as one string that the optimizer folds once, so that the plan holds no expression per value."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")

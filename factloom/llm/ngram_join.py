@@ -1,9 +1,9 @@
 """N-gram Jaccard join: chosen-path candidate search, then an exact check.
 
 Texts are sets of hashed word five-grams. Texts with the same set are one node. Each node has COORDS min-hashes, which stand for its set: two nodes agree in a coordinate with the probability of their Jaccard similarity.
-A run starts with all nodes in one bucket and splits a bucket by the values of one or two coordinates that its path chooses at random, 1 / threshold on average, so that a pair at the threshold is kept together in one child on average. Buckets of one node go; buckets of at most LEAF nodes are compared all with all; larger ones are split again. What is still larger after DEPTH splits consists of near copies and is compared all with all too, in pairs of blocks dealt to many tasks. Runs are repeated until a pair at the threshold has met with probability RECALL; all runs go through the same jobs.
+A run starts with all nodes in one bucket and splits a bucket by the values of one or two coordinates that its path chooses at random, 1 / threshold on average, so that a pair at the threshold is kept together in one child on average. Buckets of one node go; buckets of at most LEAF nodes are compared all with all; larger ones are split again, unless they are dense: where nodes agree with one of them in DENSE of the coordinates on average, the bucket is mostly near copies, which no split parts. Dense buckets, and what is large after DEPTH splits, are compared all with all too, in pairs of blocks dealt to many tasks. Runs are repeated until a pair at the threshold has met with probability RECALL; all runs go through the same jobs.
 
-A comparison emits no pairs but a spanning forest of the nodes that agree in enough coordinates (four standard deviations below the threshold). The forests' components are small families; within each, all pairs are verified on whole sets, again in pairs of blocks, which yields every node's number of links and forests of true links. Their components are the classes.
+A comparison emits no pairs but a star for each component of the nodes that agree in enough coordinates (four standard deviations below the threshold). The stars' components are small families; within each, all pairs are verified on whole sets, again in pairs of blocks, which yields every node's number of links and stars of true links. Their components are the classes.
 
 Result: one row per document: doc_id, class_id (the least doc_id of the class), n_links (different other texts with a similarity of at least the threshold; equal texts count once), n_copies (other documents with the same text).
 Edge cases: texts of one to four words are one n-gram; texts without words equal only equal texts; null counts as empty; rows without doc_id are in classes like others; repeated rows are copies; extra columns are ignored.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut
+from factloom.llm.common import cut, cut_small
 from factloom.llm.components import components
 
 WORDS = 5
@@ -28,6 +28,7 @@ COORDS = 64
 RECALL = 0.999
 DEPTH = 6
 LEAF = 96
+DENSE = 0.4
 BLOCK = 100
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,8 +116,8 @@ def runs_for(recall: float, threshold: float, depth: int) -> tuple[int, float]:
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost))), two
 
 
-def _forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the graph with these edges among n nodes."""
+def _stars(pairs: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]]:
+    """The components of the graph with these edges among n nodes, each as a star around its first node."""
     up = list(range(n))
 
     def find(x: int) -> int:
@@ -125,13 +126,11 @@ def _forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int
             x = up[x]
         return x
 
-    out = []
     for i, j in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True):
         a, b = find(i), find(j)
         if a != b:
             up[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+    return [(find(x), x) for x in range(n) if find(x) != x]
 
 
 def by_group(df: DataFrame, key: str, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -162,7 +161,7 @@ def _alike(least: float) -> Callable[[pa.Table], pa.Table]:
             close = np.flatnonzero((m[k + 1 :] == m[k]).sum(axis=1) >= least * m.shape[1])
             i.append(np.full(len(close), k))
             j.append(close + k + 1)
-        edges = _forest((np.concatenate(i), np.concatenate(j)), len(ids)) if i else []
+        edges = _stars((np.concatenate(i), np.concatenate(j)), len(ids)) if i else []
         return pa.table({"a": pa.array(ids[[e[0] for e in edges]] if edges else [], pa.int64()), "b": pa.array(ids[[e[1] for e in edges]] if edges else [], pa.int64())})
 
     return run
@@ -179,33 +178,40 @@ def _block_pairs(df: DataFrame, key: str, size: Column, id_: str) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(a, b): forests of the nodes whose min-hashes agree. nodes: node, mh."""
+    """(a, b): stars of the nodes whose min-hashes agree. nodes: node, mh."""
     runs, two = runs_for(recall, threshold, 3)
     rng = np.random.default_rng(2)
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDS)
     coords = [(r, int(i)) for r in range(runs) for i in rng.choice(COORDS, size=1 + int(rng.random() < two), replace=False)]
     paths = F.array(*(F.xxhash64(F.lit(r), F.lit(i), F.get("mh", F.lit(i))) for r, i in coords))
     rows = nodes.select("node", F.explode(F.array_distinct(paths)).alias("path"))
-    leaves = None
+    leaves, dense = None, None
     for depth in range(DEPTH):
         counts = rows.groupBy("path").agg(F.count("*").alias("c")).filter("c >= 2")
-        rows = cut(rows.join(counts, "path"))
+        rows, _ = cut_small(rows.join(counts, "path"))
         leaf = rows.filter(F.col("c") <= LEAF).groupBy("path").agg(F.sort_array(F.collect_set("node")).alias("members")).select("members").distinct()
         leaves = leaf if leaves is None else leaves.union(leaf)
         large = rows.filter(F.col("c") > LEAF)
         if large.isEmpty():
-            large = None
             break
-        if depth == DEPTH - 1:
+        marked = large.join(nodes, "node")
+        first = large.groupBy("path").agg(F.min("node").alias("node")).join(nodes, "node").select("path", F.col("mh").alias("lead"))
+        agree = F.size(F.filter("mh", lambda x, i: x == F.get("lead", i))) / COORDS
+        near = marked.join(first, "path").groupBy("path").agg((F.avg(agree) >= DENSE).alias("dense"))
+        large, _ = cut_small(large.join(near, "path"))
+        full = large if depth == DEPTH - 1 else large.filter("dense")
+        blocks = _block_pairs(full, "path", F.col("c"), "node").select("pair", "node")
+        dense = blocks if dense is None else dense.union(blocks)
+        large = large.filter("not dense")
+        if depth == DEPTH - 1 or large.isEmpty():
             break
         pick = lambda seed: F.pmod(F.xxhash64("path", F.lit(seed)), F.lit(COORDS)).cast("int")
         second = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1_000_000)) < int(two * 1_000_000)
         both = F.when(second, F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
         split = large.join(nodes, "node").select("node", "path", "mh", F.explode(F.array_distinct(both)).alias("i"))
-        rows = split.select("node", F.xxhash64("path", "i", F.get("mh", F.col("i"))).alias("path")).distinct()
+        rows, _ = cut_small(split.select("node", F.xxhash64("path", "i", F.get("mh", F.col("i"))).alias("path")).distinct())
     groups = leaves.distinct().select(F.xxhash64("members").alias("pair"), F.explode("members").alias("node"))
-    if large is not None:
-        dense = _block_pairs(large, "path", F.col("c"), "node").select("pair", "node")
+    if dense is not None:
         groups = groups.union(dense)
     return by_group(groups.join(nodes, "node").select("pair", "node", "mh"), "pair", _alike(least), "a long, b long")
 
@@ -249,7 +255,7 @@ def _verify(threshold: float) -> Callable[[pa.Table], pa.Table]:
             links[found] += weight[k]
             i.append(np.full(len(found), k))
             j.append(found)
-        edges = _forest((np.concatenate(i), np.concatenate(j)), len(ids)) if i else []
+        edges = _stars((np.concatenate(i), np.concatenate(j)), len(ids)) if i else []
         has = np.flatnonzero(links)
         n = len(has)
         return pa.table({"a": pa.array([*ids[has].tolist(), *ids[[e[0] for e in edges]].tolist()] if n else [], pa.int64()), "b": pa.array([None] * n + (ids[[e[1] for e in edges]].tolist() if edges else []), pa.int64()), "links": pa.array([*links[has].tolist(), *([0] * len(edges))], pa.int64())})
@@ -271,7 +277,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     sets = cut(texts.groupBy("s1", "s2").agg(F.min("d").alias("d"), F.count("*").alias("weight")).withColumn("node", F.col("s1")))
     nodes = cut(d.filter("n > 0").groupBy(F.col("s1").alias("node")).agg(F.any_value("mh").alias("mh")))
     family = components(candidates(nodes, threshold, recall))
-    family = cut(family.join(sets.select(F.col("node").alias("id"), "weight", "s1", "s2"), "id").select(F.col("id").alias("node"), "root", "weight", "s1", "s2"))
+    family, _ = cut_small(family.join(sets.select(F.col("node").alias("id"), "weight", "s1", "s2"), "id").select(F.col("id").alias("node"), "root", "weight", "s1", "s2"))
     # The sets of these nodes alone are made again from their texts: one document of each.
     row_of = F.coalesce("doc_id", F.lit(-1).cast("long"))
     one = F.min(F.struct(row_of.alias("row"), "t")).alias("one")
@@ -281,10 +287,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     whole = at.join(text, ["row", "t"]).groupBy("node").agg(F.min("text").alias("text")).select("node", word_hashes(F.col("text")).alias("w")).mapInArrow(_sets, "node long, s array<bigint>")
     members = family.select("node", "root", "weight").join(family.groupBy("root").agg(F.count("*").alias("c")), "root").join(whole, "node")
     dealt = _block_pairs(members, "root", F.col("c"), "node").select("pair", "node", "_mine", "weight", "s")
-    found = cut(by_group(dealt, "pair", _verify(threshold), "a long, b long, links long"))
+    found, _ = cut_small(by_group(dealt, "pair", _verify(threshold), "a long, b long, links long"))
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("b is not null").select("a", "b"))
-    label = cut(sets.join(classes.withColumnRenamed("id", "node"), "node").join(links, "node", "left").select("s1", "s2", "d", "root", "links"))
+    label, _ = cut_small(sets.join(classes.withColumnRenamed("id", "node"), "node").join(links, "node", "left").select("s1", "s2", "d", "root", "links"))
     label = label.join(label.groupBy("root").agg(F.min("d").alias("least")), "root").drop("d")
     same = texts.select("s1", "s2", "t", "c").join(sets.select("s1", "s2", "weight", F.col("d").alias("own"), "node"), ["s1", "s2"]).join(label, ["s1", "s2"], "left")
     same = same.select(
