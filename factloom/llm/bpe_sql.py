@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from factloom.llm.bpe_text import KEPT, cells, missing
 
 LONG = 200
+#: Words that a worker keeps at most, besides KEPT cells.
+KEPT_WORDS = 400_000
 #: Words and bytes of words that one recursive query takes at most.
 WORDS, WORD_BYTES = 40_000, 400_000
 MEMORY = "250MB"
@@ -74,6 +76,7 @@ class Coder:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.pattern = regex.compile(pattern)
         self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.db.register("m", merge_table(self.ranks))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -137,7 +140,10 @@ class Coder:
         if len(self.kept) > KEPT:
             self.kept.clear()
         new = {c: [w.encode() for w in self.pattern.findall(c)] for c in missing(found, self.kept)}
-        coded = self.words(list({w for ws in new.values() for w in ws}))
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        coded = self.known
+        coded.update(self.words(list({w for ws in new.values() for w in ws if w not in coded})))
         for c, ws in new.items():
             self.kept[c] = (b"".join(coded[w][0] for w in ws), b"".join(coded[w][1] for w in ws))
         for cs in found:
