@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import contains_any
+from factloom.functions.text import contains_any, let
 
 #: Clusters of predicates in order; a predicate belongs to the first of which it has a part from each group.
 CLUSTERS = (
@@ -34,7 +34,10 @@ def clean_predicate(c: Column) -> Column:
 
 
 def predicate_cluster(c: Column) -> Column:
-    p = clean_predicate(c)
+    return let(clean_predicate(c), _cluster)
+
+
+def _cluster(p: Column) -> Column:
     out = None
     for name, groups in CLUSTERS:
         test = reduce(lambda a, b: a & b, (contains_any(p, g) for g in groups))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import collapse, contains_any, missing, or_empty, strip
+from factloom.functions.text import collapse, contains_any, let, missing, or_empty, strip
 
 #: Fiscal years written as two, and the year in which each ends.
 FISCAL_SPANS = (("2023-24", "2024"), ("2023–24", "2024"), ("2022-23", "2023"), ("2021-22", "2022"))
@@ -24,7 +24,11 @@ def normalize_period(c: Column) -> Column:
 
 def compare_periods(a: Column, b: Column) -> Column:
     """struct(same, reason)."""
-    na, nb = normalize_period(a), normalize_period(b)
+    return let(F.struct(a.alias("a"), b.alias("b"), normalize_period(a).alias("na"), normalize_period(b).alias("nb")), _compared)
+
+
+def _compared(p: Column) -> Column:
+    a, b, na, nb = (p.getField(x) for x in ("a", "b", "na", "nb"))
     ya, yb = (F.nullif(F.regexp_extract(n, r"\b(20\d\d)\b", 1), F.lit("")) for n in (na, nb))
     said = lambda same, *reason: F.struct(F.lit(same).alias("same"), F.concat(*(F.lit(r) if isinstance(r, str) else r for r in reason)).alias("reason"))
     return (

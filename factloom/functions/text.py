@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,11 @@ def settled(df: DataFrame, keep: list[str], result: Column, fields: tuple[str, .
     return made.select(*keep, F.struct(*(F.col(n).alias(f) for n, f in zip(names, fields, strict=True))).alias(out))
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c computed once, however often body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def literal_pattern(c: Column) -> Column:
     r"""A pattern that matches the text c itself."""
     return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
