@@ -23,7 +23,7 @@ DOCS_PER_LANGUAGE = 600
 MAX_LANGUAGES = 200
 FEATURES = 6000
 HASH_BITS = 18
-L1, L2, ALPHA, BETA = 0.02, 0.5, 0.5, 1.0
+L1, L2, ALPHA, BETA = 0.3, 0.5, 0.5, 1.0
 EPOCHS = 3
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
