@@ -55,7 +55,7 @@ ORACLES["parse_numeric"] = f"""WITH {_RAW} SELECT id, raw_value,
   CASE kind WHEN 2 THEN 'percentage' WHEN 3 THEN 'numeric' WHEN 6 THEN 'numeric' ELSE 'currency' END AS value_type FROM raw"""
 ORACLES["normalize_context"] = f"""WITH {_RAW}, r AS (SELECT id, k, k % 5 AS c, p, CASE k % 5 WHEN 0 THEN raw_value WHEN 3 THEN (k % 900 + 100)::varchar || '.250' ELSE (k % 1000)::varchar END AS raw_value FROM raw WHERE kind = 6)
   SELECT id, raw_value, CASE c WHEN 0 THEN round(p, 2) WHEN 1 THEN k % 1000 WHEN 2 THEN k % 1000 WHEN 3 THEN (k % 900 + 100) * 1000 + 250 ELSE (k % 1000) * 100 END::double AS num, NULL::varchar AS text,
-  CASE c WHEN 0 THEN 'INR' WHEN 1 THEN 'INR crore' WHEN 2 THEN 'million' ELSE 'INR crore' END AS unit, CASE c WHEN 2 THEN 'numeric' ELSE 'currency' END AS value_type FROM r"""
+  CASE c WHEN 0 THEN CASE WHEN contains(raw_value, ',') THEN 'INR' ELSE 'INR crore' END WHEN 1 THEN 'INR crore' WHEN 2 THEN 'million' ELSE 'INR crore' END AS unit, CASE c WHEN 2 THEN 'numeric' ELSE 'currency' END AS value_type FROM r"""
 _FORM = "lower(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace({x}, '“', '\"'), '”', '\"'), '‘', ''''), '’', ''''), '–', '-'), '—', '-'), '­', ''), '₹', 'Rs'), '\\(\\s*\\d+(?:\\s*,\\s*\\d+)*\\s*\\)', ' ', 'g'), '\\s+', ' ', 'g')))"
 ORACLES["ground_text_norm"] = f"WITH f AS (SELECT doc_id, {_FORM.format(x="('“Rs” – ‘₹5’ (1, 2) ' || text)")} AS form FROM documents) SELECT doc_id, length(form)::bigint AS n, md5(form) AS form_md5 FROM f"
 ORACLES["ground_exact"] = f"""WITH q AS (SELECT doc_id, d.text AS page, CASE WHEN doc_id % 2 = 0 THEN substr(d.text, 21, 40) || chr(10) || '  (3) ' || substr(d.text, 61, 40) ELSE b.text END AS quote
