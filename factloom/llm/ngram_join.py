@@ -29,7 +29,8 @@ RECALL = 0.999
 DEPTH = 6
 LEAF = 96
 DENSE = 0.4
-BLOCK = 100
+#: Rows of a block: of sets, and of min-hashes, which are small.
+BLOCK, SKETCH_BLOCK = 200, 800
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,9 +168,9 @@ def _alike(least: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _block_pairs(df: DataFrame, key: str, size: Column, id_: str) -> DataFrame:
-    """Deals the rows of each key into blocks of about BLOCK rows, or the root of the key's size where that is more, and each row to the pairs of blocks that its own is in; adds column pair."""
-    blocks = F.ceil(size / F.greatest(F.lit(float(BLOCK)), F.sqrt(size.cast("double")))).cast("int")
+def _block_pairs(df: DataFrame, key: str, size: Column, id_: str, block: int) -> DataFrame:
+    """Deals the rows of each key into blocks of about so many rows, or the root of the key's size where that is more, and each row to the pairs of blocks that its own is in; adds column pair."""
+    blocks = F.ceil(size / F.greatest(F.lit(float(block)), F.sqrt(size.cast("double")))).cast("int")
     mine = F.pmod(F.xxhash64(id_), F.col("_blocks")).cast("int")
     df = df.withColumn("_blocks", blocks).withColumn("_mine", mine)
     df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -194,21 +195,21 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = R
         large = rows.filter(F.col("c") > LEAF)
         if large.isEmpty():
             break
-        marked = large.join(nodes, "node")
+        marked, _ = cut_small(large.join(nodes, "node"))
         first = large.groupBy("path").agg(F.min("node").alias("node")).join(nodes, "node").select("path", F.col("mh").alias("lead"))
         agree = F.size(F.filter("mh", lambda x, i: x == F.get("lead", i))) / COORDS
         near = marked.join(first, "path").groupBy("path").agg((F.avg(agree) >= DENSE).alias("dense"))
-        large, _ = cut_small(large.join(near, "path"))
-        full = large if depth == DEPTH - 1 else large.filter("dense")
-        blocks = _block_pairs(full, "path", F.col("c"), "node").select("pair", "node")
+        marked = marked.join(cut_small(near)[0], "path")
+        full = marked if depth == DEPTH - 1 else marked.filter("dense")
+        blocks = _block_pairs(full, "path", F.col("c"), "node", SKETCH_BLOCK).select("pair", "node")
         dense = blocks if dense is None else dense.union(blocks)
-        large = large.filter("not dense")
+        large = marked.filter("not dense")
         if depth == DEPTH - 1 or large.isEmpty():
             break
         pick = lambda seed: F.pmod(F.xxhash64("path", F.lit(seed)), F.lit(COORDS)).cast("int")
         second = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1_000_000)) < int(two * 1_000_000)
         both = F.when(second, F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
-        split = large.join(nodes, "node").select("node", "path", "mh", F.explode(F.array_distinct(both)).alias("i"))
+        split = large.select("node", "path", "mh", F.explode(F.array_distinct(both)).alias("i"))
         rows, _ = cut_small(split.select("node", F.xxhash64("path", "i", F.get("mh", F.col("i"))).alias("path")).distinct())
     groups = leaves.distinct().select(F.xxhash64("members").alias("pair"), F.explode("members").alias("node"))
     if dense is not None:
@@ -286,7 +287,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_hash(text).alias("t")).select(row_of.alias("row"), "text", "t")
     whole = at.join(text, ["row", "t"]).groupBy("node").agg(F.min("text").alias("text")).select("node", word_hashes(F.col("text")).alias("w")).mapInArrow(_sets, "node long, s array<bigint>")
     members = family.select("node", "root", "weight").join(family.groupBy("root").agg(F.count("*").alias("c")), "root").join(whole, "node")
-    dealt = _block_pairs(members, "root", F.col("c"), "node").select("pair", "node", "_mine", "weight", "s")
+    dealt = _block_pairs(members, "root", F.col("c"), "node", BLOCK).select("pair", "node", "_mine", "weight", "s")
     found, _ = cut_small(by_group(dealt, "pair", _verify(threshold), "a long, b long, links long"))
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("b is not null").select("a", "b"))
