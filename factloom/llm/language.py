@@ -93,7 +93,12 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     idf = np.log((1 + len(texts)) / (1 + df[chosen])) + 1
     k = len(names)
     m = Model(names, feature, idf, np.zeros((len(chosen), k)), np.zeros(k))
-    x = [m.vector(t) for t in texts]
+    # Only what is not zero is kept of each text.
+    x = []
+    for t in texts:
+        v = m.vector(t)
+        at = np.flatnonzero(v).astype(np.int32)
+        x.append((at, v[at].astype(np.float32)))
     y = np.array([names.index(v) for v in labels])
     held = np.arange(len(texts)) % 5 == 4
     z, n = np.zeros((len(chosen) + 1, k)), np.zeros((len(chosen) + 1, k))
@@ -106,8 +111,8 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     train = np.flatnonzero(~held)
     for _ in range(EPOCHS):
         for i in rng.permutation(train):
-            at = np.append(np.flatnonzero(x[i]), len(chosen))
-            v = np.append(x[i][at[:-1]], 1.0)
+            at = np.append(x[i][0], len(chosen))
+            v = np.append(x[i][1], 1.0)
             w = leader(at)
             s = v @ w
             p = np.exp(s - s.max())
@@ -120,7 +125,7 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     w = leader(np.arange(len(chosen) + 1))
     m.weights, m.bias = w[:-1], w[-1]
     if held.any():
-        logits = np.array([x[i] @ m.weights + m.bias for i in np.flatnonzero(held)])
+        logits = np.array([x[i][1] @ m.weights[x[i][0]] + m.bias for i in np.flatnonzero(held)])
         best = min(np.geomspace(0.05, 5, 41), key=lambda t: _loss(logits / t, y[held]))
         m.temperature = float(best)
     return m
