@@ -44,15 +44,18 @@ def parse_numeric(spark, sf_dir):
 
 @query
 def normalize_context(spark, sf_dir):
-    """Values whose unit stands apart, or beside the number in the quote or on the page, or whose separator became a point."""
-    r = raw_values(spark, sf_dir).filter((F.col("n") + F.col("k")) % 7 == 6)
+    """All values in their seven notations, with a unit that stands apart, or beside the number in the quote or on the page, or whose separator became a point. Bare numbers (the seventh notation) take smaller ones but for every fifth order."""
+    r = raw_values(spark, sf_dir)
+    bare = (F.col("n") + F.col("k")) % 7 == 6
     kind, short = F.col("k") % 5, F.concat((F.col("k") % 900 + 100).cast("string"), F.lit(".250"))
+    small = (F.col("k") % 1000).cast("string")
+    beside = F.when(bare, F.concat(F.lit("it was Rs "), small, F.lit(" bn in all"))).otherwise(F.concat(F.lit("it was "), F.col("raw_value"), F.lit(" in all")))
     r = r.select(
         "id",
-        F.when(kind == 0, F.col("raw_value")).when(kind == 3, short).otherwise((F.col("k") % 1000).cast("string")).alias("raw_value"),
+        F.when(~bare | (kind == 0), F.col("raw_value")).when(kind == 3, short).otherwise(small).alias("raw_value"),
         F.when(kind.isin(0, 1), F.lit("₹ Cr")).when(kind == 2, F.lit("INR million")).when(kind == 3, F.lit("INR crore")).alias("raw_unit"),
-        F.when(kind == 3, F.lit("Rs table 7,224 and 8,142")).when(kind == 4, F.concat(F.lit("it was Rs "), (F.col("k") % 1000).cast("string"), F.lit(" bn in all"))).alias("evidence_quote"),
-        F.lit(None).cast("string").alias("source_context"),
+        F.when(kind == 3, F.lit("Rs table 7,224 and 8,142")).when(kind == 4, beside).alias("evidence_quote"),
+        F.when(~bare & (kind == 1), F.concat(F.lit("all in Rs: "), F.col("raw_value"), F.lit(" bn"))).alias("source_context"),
     )
     return normalize_values(r).select("id", "raw_value", "value.num", "value.text", "value.unit", "value.value_type")
 
