@@ -180,7 +180,7 @@ def _block_pairs(df: DataFrame, key: str, size: Column, id_: str, block: int) ->
 
 def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(a, b): stars of the nodes whose min-hashes agree. nodes: node, mh."""
-    runs, two = runs_for(recall, threshold, 3)
+    runs, two = runs_for(recall, threshold, DEPTH)
     rng = np.random.default_rng(2)
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDS)
     coords = [(r, int(i)) for r in range(runs) for i in rng.choice(COORDS, size=1 + int(rng.random() < two), replace=False)]

@@ -89,3 +89,30 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert jaccard_join(docs(spark, [])).count() == 0
+
+
+def test_pairs_in_hot_buckets_split_to_the_full_depth(spark, monkeypatch):
+    """Pairs at the threshold among nodes that are otherwise unlike, but have only three values in each coordinate. LEAF is small and nothing is dense, so that a few thousand nodes go through as many splits as very hot buckets do."""
+    import numpy as np
+
+    from factloom.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "LEAF", 2)
+    monkeypatch.setattr(ngram_join, "DENSE", 2.0)
+    rng, pairs = np.random.default_rng(5), 1500
+    x = rng.integers(0, 3, size=(pairs, 64), dtype=np.int32)
+    y = x.copy()
+    for i in range(pairs):
+        y[i, rng.choice(64, size=12 + (i % 5 > 0), replace=False)] += 10 + i
+    nodes = [(i, m.tolist()) for i, m in enumerate(np.concatenate([x, y]))]
+    up = list(range(2 * pairs))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in ngram_join.candidates(spark.createDataFrame(nodes, "node long, mh array<int>")).collect():
+        up[find(a)] = find(b)
+    lost = sum(find(i) != find(pairs + i) for i in range(pairs))
+    assert lost <= (1 - ngram_join.RECALL) * pairs
