@@ -44,3 +44,8 @@ def double_array(values) -> Column:
 
 def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
+
+
+def settled(df: DataFrame, keep: list[str], results: dict[str, Column]) -> DataFrame:
+    """The columns in keep and the results, which a generator makes: filters on them stay above it, so that costly expressions are not computed again inside each filter."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in results.items())))))
