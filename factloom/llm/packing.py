@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.bpe_text import WHITE
-
 LENGTH = 2048
 SLACK = 64
 GROUP_BYTES = 6_000_000
 
+#: Unicode's White_Space, which the tokenizers' \s means (Python's \s has four control characters more).
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pattern that both libraries split by, without its look-ahead, which matters only beside runs of white space.
 PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
 #: Latin to Cyrillic letters, where both libraries' Unicode tables surely agree, and general punctuation.

@@ -14,8 +14,7 @@ import tiktoken
 from helpers import DATA, ODD, docs
 from tokenizers import Tokenizer
 
-from factloom.llm.bpe_sql import Coder, encode_documents
-from factloom.llm.bpe_text import cells
+from factloom.llm.bpe_sql import FIRST_PLACE, LONG_RECURSION, Coder, encode_documents
 from factloom.llm.common import table
 from factloom.llm.kd_shards import shard_documents
 from factloom.llm.language import UNKNOWN, fit, identify
@@ -39,11 +38,6 @@ def ranks():
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
 
 
-def test_cells_part_texts_without_loss():
-    for t in fuzz(300):
-        assert "".join(cells(t)) == t
-
-
 def test_recursive_bpe_equals_tiktoken(ranks):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     coder = Coder(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), P.PATTERN)
@@ -52,6 +46,30 @@ def test_recursive_bpe_equals_tiktoken(ranks):
         assert np.frombuffer(ids, dtype="<u4").tolist() == enc.encode_ordinary(t) and raw == t.encode()
 
 
+def test_long_words_equal_tiktoken(ranks):
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    data, rng = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), random.Random(9)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ") for _ in range(4000))
+    texts = ["x" * 5000, "ab" * 3000 + "a", letters, "漢字" * 700, "=" * 3001, " " * 900 + "x", "thethe" * 200]
+    one, c = Coder(data, P.PATTERN), Coder(data, P.PATTERN)
+    one.long = LONG_RECURSION.format(places=FIRST_PLACE)
+    for t in texts:
+        (ids, raw), want = next(c.texts([t])), enc.encode_ordinary(t)
+        assert np.frombuffer(ids, dtype="<u4").tolist() == want and raw == t.encode()
+    assert next(one.texts([texts[6]])) == next(c.texts([texts[6]]))
+
+
+def test_plain_split_equals_the_pattern():
+    import regex
+
+    c, full = Coder(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), P.PATTERN), regex.compile(P.PATTERN)
+    assert c.common
+    rng = random.Random(10)
+    for _ in range(3000):
+        t = "".join(rng.choice("aZé ß \n\t\x0b\x1c'strelvmd0123.,-–…«µ²½ª\xa0\x85漢") for _ in range(rng.randrange(25)))
+        assert c.split(t) == full.findall(t), t
+
+
 def test_bpe_documents(spark, ranks):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = sorted(map(str, encode_documents(docs(spark, ODD), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()))
