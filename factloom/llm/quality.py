@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, double_array
+from factloom.llm.common import cut, double_array, settled
 
 BUCKETS = 1 << 15
 PRIOR = 16
@@ -76,9 +76,10 @@ def score(docs: DataFrame, llr: list[float], threshold: float = THRESHOLD) -> Da
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _hashes(F.col("words")).alias("h"),
+        "words",
     )
-    h = F.col("h")
-    # A window's hash keeps its upper bits; the lower ones hold its position, so one sort of longs brings equal windows together.
+    h, words = F.col("h"), F.col("words")
+    # A window's hash keeps its upper bits; the lower ones hold its position, so one sort of longs brings windows together that may be equal.
     bits = F.greatest(F.lit(1), F.ceil(F.log2(F.size(h) + F.lit(1.0)))).cast("int")
     d = d.withColumns({"bits": bits, "low": F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1).cast("long")})
     windows = F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.bitwise_not(F.col("low"))).bitwiseOR(i.cast("long")))
@@ -86,14 +87,22 @@ def score(docs: DataFrame, llr: list[float], threshold: float = THRESHOLD) -> Da
     s = F.col("sorted")
     same = lambda x, y: F.coalesce(F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.col("bits")) == 0, F.lit(False))
     d = d.withColumn("total", F.aggregate("h", F.lit(0.0), lambda a, g: a + weight(g)) + F.aggregate("pairs", F.lit(0.0), lambda a, g: a + weight(g)))
-    d = d.select("doc_id", "n_symbols", "n_words", "word_chars", "n_dup_lines", "low", "total", (F.size("h") + F.size("pairs")).alias("n_grams"), F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))).alias("again"))
-    d = d.withColumn("at", F.sort_array(F.transform("again", lambda x: x.bitwiseAND(F.col("low")))))
+    kept = ("doc_id", "n_symbols", "n_words", "word_chars", "n_dup_lines")
+    d = d.select(*kept, "words", "low", "total", (F.size("h") + F.size("pairs")).alias("n_grams"), F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))).alias("maybe"))
+    # Only these are compared word by word; words hold no blanks, so windows joined by one are equal only if their words are.
+    at = lambda x: x.bitwiseAND(F.col("low")).cast("int")
+    d = d.select(*kept, "total", "n_grams", F.sort_array(F.transform("maybe", lambda x: F.struct(F.array_join(F.slice(words, at(x) + 1, 3), " ").alias("w"), at(x).alias("p")))).alias("maybe"))
+    m = F.col("maybe")
+    equal = lambda x, k: F.coalesce(x["w"] == F.get(m, k)["w"], F.lit(False))
+    d = d.withColumn("at", F.sort_array(F.transform(F.filter(m, lambda x, k: equal(x, k - 1) | equal(x, k + 1)), lambda x: x["p"])))
     at = F.col("at")
     # Each repeated window adds the words up to the next one's start, three at most.
-    repeat = F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, k + 1) - p, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
+    repeat = F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
     d = d.withColumn("n_repeat_words", F.when(F.size(at) > 0, repeat).otherwise(F.lit(0).cast("long")))
     d = d.withColumns({"base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")), "llr_score": F.round(F.col("total") / (F.col("n_grams") + PRIOR), 9)})
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr_score") >= threshold)).alias("kept"), "llr_score")
+    results = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")}
+    verdict = ~F.col("base_failed") & (F.col("llr_score") >= threshold)
+    return settled(d, ["doc_id"], results | {"kept": verdict, "llr_score": F.col("llr_score")})
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from helpers import DATA, ODD, docs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factloom.llm.bpe_sql import FIRST_PLACE, LONG_RECURSION, Coder, encode_documents
@@ -232,7 +234,7 @@ def test_toxicity(spark):
 
 
 def test_quality_counts_against_plain_version(spark):
-    rows = [*[r for r in ODD if r[0] not in (None, 4)], (30, "a b c a b c x a b c"), (31, "line one\nline two\nline one\n \n \nline one"), (32, "# $5 |<x>| é&"), (33, "w " * 60), (34, " ".join(f"v{i}" for i in range(70)))]
+    rows = [*[r for r in ODD if r[0] not in (None, 4)], (30, "a b c a b c x a b c"), (31, "line one\nline two\nline one\n \n \nline one"), (32, "# $5 |<x>| é&"), (33, "w " * 60), (35, "p q r s p q r x q r s p q " * 5 + "q r"), (34, " ".join(f"v{i}" for i in range(70)))]
     lab = spark.createDataFrame([(34, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality_rules(docs(spark, rows), lab).collect()}
     for d, t in rows:
@@ -246,3 +248,21 @@ def test_quality_counts_against_plain_version(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), repeated, failed)
     assert got[34].kept and not got[33].kept
     assert quality_rules(docs(spark, EMPTY), lab).count() == 0
+
+
+def test_quality_under_a_filter(spark):
+    d, lab = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    began = time.perf_counter()
+    rows = quality_rules(d, lab).collect()
+    plain = time.perf_counter() - began
+    began = time.perf_counter()
+    assert quality_rules(d, lab).filter("kept").count() == sum(r.kept for r in rows)
+    assert time.perf_counter() - began < 3 * plain + 10
+
+
+def test_quality_verdict_on_rows_that_were_not_fitted(spark):
+    """Weights from four fifths of the labelled rows, verdicts on the other fifth."""
+    d, lab = table(spark, DATA.replace("0.001", "0.01"), "documents"), table(spark, DATA.replace("0.001", "0.01"), "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    got = quality_rules(d, lab.filter(fold != 0)).join(lab.filter(fold == 0), "doc_id").filter("not base_failed").collect()
+    assert len(got) > 40 and sum(r.kept == (r.quality == 1) for r in got) >= 0.9 * len(got)
