@@ -37,11 +37,11 @@ def ground(df: DataFrame, page: str = "page_text", quote: str = "evidence_quote"
     score = F.col("_score")
     percent = F.round(score * 100, 1).cast("string")
     result = (
-        F.when(missing(F.col(quote)) | missing(F.col(page)), verdict(False, F.lit(0.0), F.lit("Empty quote or page text")))
+        F.when(missing(F.col(quote)) | missing(F.col(page)), verdict(False, F.lit(0.0), F.lit("No quote, or no page")))
         .when(F.contains(F.col(page), q), verdict(True, F.lit(1.0), q))
         .when(F.contains(pf, qf), verdict(True, F.lit(1.0), qf))
-        .when(score.isNull(), verdict(False, F.lit(0.0), F.lit("Quote contains no alphanumeric tokens")))
-        .when(score >= min_overlap, verdict(True, F.round(score, 3), F.concat(F.lit("Partial fuzzy grounding ("), percent, F.lit("% token overlap)"))))
-        .otherwise(verdict(False, F.round(score, 3), F.concat(F.lit("Ungrounded: only "), percent, F.lit("% overlap with source page"))))
+        .when(score.isNull(), verdict(False, F.lit(0.0), F.lit("The quote has no words to look for")))
+        .when(score >= min_overlap, verdict(True, F.round(score, 3), F.concat(F.lit("Found in parts: "), percent, F.lit("% of the quote"))))
+        .otherwise(verdict(False, F.round(score, 3), F.concat(F.lit("Ungrounded: "), percent, F.lit("% of the quote is on the page"))))
     )
     return settled(df, keep, result, ("is_grounded", "score", "note"), out)

@@ -27,6 +27,7 @@ def compare_periods(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b"), normalize_period(a).alias("na"), normalize_period(b).alias("nb")), _compared)
 
 
+#: The reasons, whose wordings the given results compare.
 def _compared(p: Column) -> Column:
     a, b, na, nb = (p.getField(x) for x in ("a", "b", "na", "nb"))
     ya, yb = (F.nullif(F.regexp_extract(n, r"\b(20\d\d)\b", 1), F.lit("")) for n in (na, nb))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import collapse, contains_any, literal_pattern, missing, or_empty, settled, strip
 
+#: Fixed value: the pattern of a number.
 NUMBER = r"([+-]?\s*\d+(?:\.\d+)?)"
 VALUE_TYPE = "struct<num:double,unit:string,value_type:string>"
 

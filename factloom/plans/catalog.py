@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,9 @@ from factloom.operators.classify import relationships, undecided
 from factloom.operators.facts import facts_from_answers, ungrounded_events
 from factloom.operators.pairing import candidate_pairs
 from factloom.operators.salience import salient_pages
-from factloom.operators.store import rebuilt_documents, upsert
-from factloom.plans.pipeline import relationship_rows
-from factloom.plans.synthetic import answers, line_facts, order_facts, raw_values, text_facts
+from factloom.operators.store import FactStore, export_json, rebuilt_documents, seed, upsert
+from factloom.plans.pipeline import relate, relationship_rows, shared_dir
+from factloom.plans.synthetic import NOTATIONS, answers, line_facts, order_facts, raw_values, text_facts
 from factloom.sources.pages import document_id, documents_of, pages_from_text, select_pages
 
 QUERIES: dict = {}
@@ -83,10 +85,11 @@ def ground_exact(spark, sf_dir):
 
 
 @query
-def ground_fuzzy(spark, sf_dir):
-    """A passage of the document with foreign words put in."""
-    d = _t(spark, sf_dir, "documents").filter(F.length("text") >= 60)
-    mixed = F.concat(F.substring("text", 1, 60), F.when(F.col("doc_id") % 3 == 0, F.lit(" qqxx ")).otherwise(F.lit(" qqxx wwzz vvkk ")), F.substring("text", 61, 50))
+def ground_scores(spark, sf_dir):
+    """A passage of every document with foreign words put in; short, empty and missing texts too."""
+    d = _t(spark, sf_dir, "documents")
+    page = F.coalesce("text", F.lit(""))
+    mixed = F.concat(F.substring(page, 1, 60), F.when(F.col("doc_id") % 3 == 0, F.lit(" qqxx ")).otherwise(F.lit(" qqxx wwzz vvkk ")), F.substring(page, 61, 50))
     g = ground(d.select("doc_id", F.col("text").alias("page_text"), mixed.alias("evidence_quote")))
     return g.select("doc_id", "grounding.is_grounded", F.col("grounding.score").alias("score"))
 
@@ -132,15 +135,10 @@ def _pair_ids(facts):
 
 
 @query
-def match_exact(spark, sf_dir):
-    f = order_facts(spark, sf_dir)
-    return _pair_ids(f.filter("cast(substring(id, 3) as bigint) % 3 <> 1"))
-
-
-@query
-def match_fallback(spark, sf_dir):
-    f = order_facts(spark, sf_dir)
-    return _pair_ids(f.filter("cast(substring(id, 3) as bigint) % 3 = 1"))
+def match_modes(spark, sf_dir):
+    """All facts in one go: where two documents share a predicate under a key, facts of shared predicates are paired, elsewhere all that fit."""
+    p = candidate_pairs(order_facts(spark, sf_dir))
+    return p.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), (F.col("a.predicate") == F.col("b.predicate")).alias("shared"))
 
 
 @query
@@ -149,9 +147,10 @@ def match_closest(spark, sf_dir):
 
 
 @query
-def match_no_intra(spark, sf_dir):
-    """Facts of one document are never paired."""
-    return _pair_ids(line_facts(spark, sf_dir).filter("source_document_id = 'doc-B'"))
+def match_across_documents(spark, sf_dir):
+    """Lines of one document meet its other lines under their keys, but only facts of different documents are paired."""
+    p = candidate_pairs(line_facts(spark, sf_dir))
+    return p.groupBy(F.col("a.source_document_id").alias("doc_a"), F.col("b.source_document_id").alias("doc_b")).agg(F.count("*").alias("pairs"), F.countDistinct("a.subject").alias("subjects"))
 
 
 def _edges(spark, sf_dir):
@@ -323,3 +322,102 @@ def json_export(spark, sf_dir):
     lines = f.select("id", F.to_json(F.struct("id", "subject", "norm_num", "is_grounded")).alias("doc"))
     back = lines.select(F.from_json("doc", "id string, subject string, norm_num double, is_grounded boolean").alias("x"))
     return back.select("x.*")
+
+
+@query
+def parse_notations(spark, sf_dir):
+    """Every magnitude with and without a currency, plain numbers, sentences and empty values, one of them for each line item."""
+    li = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").cast("int").cast("string").alias("q"))
+    kind = (F.col("id") % len(NOTATIONS)).cast("int")
+    part = lambda i: F.get(F.array(*(F.lit(n[i]) for n in NOTATIONS)), kind)
+    values = li.select("id", F.concat(part(0), F.when(part(3), F.col("q")).otherwise(F.lit("")), part(1)).alias("raw_value"))
+    return parse_values(values, "raw_value").select("id", "raw_value", "value.num", "value.unit", "value.value_type")
+
+
+@query
+def scope_of_partners(spark, sf_dir):
+    """Pairs of one number that counts partners and one that does not, and the rules' words for them."""
+    f = order_facts(spark, sf_dir)
+    said = F.when(F.col("source_document_id") == "doc-A", F.lit("includes partner staff")).otherwise(F.lit("excludes partner staff"))
+    e = relationships(candidate_pairs(f.withColumns({"scope": said, "time_period": F.lit("FY24")})))
+    return e.select("id", "relationship_type", "confidence", "contextual_difference")
+
+
+@query
+def facts_of_whole_texts(spark, sf_dir):
+    """Facts from answers about every document's whole text."""
+    facts, _ = facts_from_answers(answers(spark, sf_dir))
+    return facts.select("source_document_id", "predicate", "norm_num", "unit", "comparison_key", "is_grounded", "confidence")
+
+
+@query
+def events_of_whole_texts(spark, sf_dir):
+    _, events = facts_from_answers(answers(spark, sf_dir))
+    return events.select("document_filename", "failure_type", "what_happened")
+
+
+@query
+def values_in_context(spark, sf_dir):
+    """All seven notations with what stands beside them (see normalize_context)."""
+    return QUERIES["normalize_context"](spark, sf_dir).select("id", "raw_value", "num", "unit", "value_type")
+
+
+def _filled_store(spark, sf_dir) -> FactStore:
+    """A store below the shared folder: facts saved twice, in two halves that overlap, with repeated rows."""
+    store = FactStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    f = order_facts(spark, sf_dir)
+    k = F.substring("id", 3, 20).cast("long")
+    store.save("facts", f.filter(k % 3 != 0).unionByName(f.filter(k % 7 == 1)))
+    store.save("facts", f.filter(k % 3 != 1).withColumn("confidence", F.lit(0.5)))
+    return store
+
+
+@query
+def store_facts(spark, sf_dir):
+    return _filled_store(spark, sf_dir).facts(grounded_only=True, document_id="doc-B").select("id", "confidence", "page_number")
+
+
+@query
+def store_relationships(spark, sf_dir):
+    store = _filled_store(spark, sf_dir)
+    relate(store)
+    return store.relationships("CONTRADICTS").select("id", "fact_a_id", "fact_b_id", "confidence")
+
+
+@query
+def store_documents(spark, sf_dir):
+    store = _filled_store(spark, sf_dir)
+    store.save("documents", rebuilt_documents(store.facts()))
+    store.save("documents", rebuilt_documents(store.facts()).withColumns({"filename": F.lit("other.pdf"), "status": F.lit("again")}))
+    return store.documents().select("id", "filename", "extracted_facts_count", "status")
+
+
+@query
+def store_events(spark, sf_dir):
+    """Events appended in two parts, as two ingestions do."""
+    store = _filled_store(spark, sf_dir)
+    events = ungrounded_events(store.facts())
+    store.append_events(events.filter("document_filename = 'A.pdf'"))
+    store.append_events(events.filter("document_filename <> 'A.pdf'"))
+    return store.events().select("document_filename", "page_number", "failure_type", "what_happened")
+
+
+@query
+def store_cleared(spark, sf_dir):
+    store = _filled_store(spark, sf_dir)
+    store.clear()
+    store.replace("facts", order_facts(spark, sf_dir).filter("not is_grounded"))
+    counts = [store.read(t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("documents", "facts", "relationships", "processing_events")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@query
+def seeded_store(spark, sf_dir):
+    """Facts and relationships exported as JSON, and a second store filled from that."""
+    store = _filled_store(spark, sf_dir)
+    relate(store)
+    export_json(store.facts(), store.relationships(), f"{store.base}/export")
+    other = FactStore(spark, f"{store.base}-seeded")
+    seed(other, f"{store.base}/export")
+    f = other.facts().select("id", F.col("norm_num").alias("num"))
+    return f.unionByName(other.relationships().select("id", F.col("fact_b.norm_num").alias("num"))).unionByName(other.documents().select("id", F.col("extracted_facts_count").cast("double").alias("num")))

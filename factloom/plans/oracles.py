@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from factloom.plans.synthetic import NOTATIONS
+
 ORACLES: dict[str, str] = {}
 
 _RAW = """
@@ -61,10 +63,10 @@ ORACLES["ground_text_norm"] = f"WITH f AS (SELECT doc_id, {_FORM.format(x="('“
 ORACLES["ground_exact"] = f"""WITH q AS (SELECT doc_id, d.text AS page, CASE WHEN doc_id % 2 = 0 THEN substr(d.text, 21, 40) || chr(10) || '  (3) ' || substr(d.text, 61, 40) ELSE b.text END AS quote
     FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
   SELECT doc_id, true AS is_grounded FROM q WHERE page <> '' AND quote <> '' AND (contains(page, regexp_replace(quote, '^\\s+|\\s+$', '', 'g')) OR contains({_FORM.format(x="page")}, {_FORM.format(x="quote")}))"""
-ORACLES["ground_fuzzy"] = f"""WITH q AS (SELECT doc_id, {_FORM.format(x="text")} AS page, {_FORM.format(x="substr(text, 1, 60) || CASE WHEN doc_id % 3 = 0 THEN ' qqxx ' ELSE ' qqxx wwzz vvkk ' END || substr(text, 61, 50)")} AS quote FROM documents WHERE length(text) >= 60),
-  t AS (SELECT doc_id, page, list_filter(string_split(quote, ' '), lambda x: length(x) > 1) AS t, list_distinct(string_split(page, ' ')) AS p FROM q),
-  s AS (SELECT doc_id, len(list_filter(t, lambda x: list_contains(p, x))) / len(t) AS hits, len(t) AS n, list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS runs, page FROM t),
-  r AS (SELECT doc_id, CASE WHEN n >= 3 THEN 0.4 * hits::double + 0.6 * (len(list_filter(runs, lambda x: contains(page, x))) / len(runs))::double ELSE hits END AS score FROM s)
+ORACLES["ground_scores"] = f"""WITH q AS (SELECT doc_id, coalesce(text, '') = '' AS none, {_FORM.format(x="coalesce(text, '')")} AS page, {_FORM.format(x="substr(coalesce(text, ''), 1, 60) || CASE WHEN doc_id % 3 = 0 THEN ' qqxx ' ELSE ' qqxx wwzz vvkk ' END || substr(coalesce(text, ''), 61, 50)")} AS quote FROM documents),
+  t AS (SELECT doc_id, none, page, list_filter(string_split(quote, ' '), lambda x: length(x) > 1) AS t, list_distinct(string_split(page, ' ')) AS p FROM q),
+  s AS (SELECT doc_id, none, len(list_filter(t, lambda x: list_contains(p, x))) / len(t) AS hits, len(t) AS n, list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS runs, page FROM t),
+  r AS (SELECT doc_id, CASE WHEN none THEN 0.0 WHEN n >= 3 THEN 0.4 * hits::double + 0.6 * (len(list_filter(runs, lambda x: contains(page, x))) / len(runs))::double ELSE hits END AS score FROM s)
   SELECT doc_id, score >= 0.7 AS is_grounded, round(score, 3) AS score FROM r"""
 _P = "regexp_replace(translate(lower(predicate), '- ', '__'), '[^a-z0-9_]', '', 'g')"
 ORACLES["predicate_clusters"] = f"""WITH p AS (SELECT p_partkey, (['Total Revenue', 'operating-profit', 'pin codes covered', 'Team Size', 'active customers', 'Registered Office', 'corporate hq address', 'office', 'Board Member', 'Real GDP growth', 'CPI', 'annual shipment volume count', 'freight', 'Something else'])[p_partkey % 14 + 1] || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' ' || p_type END AS predicate FROM part),
@@ -86,11 +88,8 @@ ORACLES["time_normalize"] = f"WITH {_PERIODS} SELECT o_orderkey, period, normali
 ORACLES["time_compare"] = f"""WITH {_PERIODS}, y AS (SELECT *, CASE WHEN kind IN (0, 1) THEN normalized WHEN kind IN (2, 4) THEN '2024' END AS ny FROM t)
   SELECT o_orderkey, NOT coalesce(ny <> no, false) AS same, CASE WHEN period IS NULL THEN 'One or both facts lack explicit temporal context' WHEN normalized = no THEN 'Identical reporting period (' || period || ')'
     WHEN contains(normalized, '2024') AND contains(no, '2024') THEN 'Compatible reporting period (FY24 / March 31, 2024)' WHEN ny <> no THEN 'Different reporting periods / years (' || ny || ' in ''' || period || ''' vs ' || no || ' in ''' || other || ''')' ELSE 'Temporally compatible' END AS reason FROM y"""
-ORACLES["match_exact"] = f"WITH {_FACTS} SELECT a.id AS a_id, b.id AS b_id FROM facts a JOIN facts b ON a.k = b.k AND a.side = 'A' AND b.side = 'B' WHERE a.k % 3 <> 1"
-ORACLES["match_fallback"] = f"WITH {_FACTS} SELECT a.id AS a_id, b.id AS b_id FROM facts a JOIN facts b ON a.k = b.k AND a.side = 'A' AND b.side = 'B' WHERE a.k % 3 = 1"
 ORACLES["match_closest"] = """WITH d AS (SELECT o_orderkey AS k, l_linenumber AS n, abs(o_totalprice - l_extendedprice) / greatest(abs(o_totalprice), abs(l_extendedprice), 1.0) AS dist FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
   SELECT 'A-' || k || '-1' AS a_id, 'B-' || k || '-' || n AS b_id FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY dist, n) = 1"""
-ORACLES["match_no_intra"] = "SELECT ''::varchar AS a_id, ''::varchar AS b_id WHERE false"
 ORACLES["classify_address"] = "SELECT 'rel_A-office_address-' || c_custkey || '_B-office_address-' || c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'CONTRADICTS' ELSE 'CORROBORATES' END AS relationship_type, CASE WHEN c_custkey % 4 = 0 THEN 0.92 ELSE 0.95 END::double AS confidence FROM customer"
 ORACLES["classify_director"] = "SELECT 'rel_A-board_director-' || c_custkey || '_B-board_director-' || c_custkey AS id, 'RECONCILABLE' AS relationship_type, 0.92::double AS confidence, 'Entity status change over time (resignation in subsequent period)' AS contextual_difference FROM customer WHERE c_custkey % 3 = 0"
 ORACLES["undecided_pairs"] = "SELECT 'A-board_director-' || c_custkey AS a_id, 'B-board_director-' || c_custkey AS b_id FROM customer WHERE c_custkey % 3 <> 0"
@@ -127,3 +126,37 @@ ORACLES["failure_events"] = """WITH d AS (SELECT doc_id FROM documents WHERE len
 ORACLES["event_audit"] = f"""WITH {_FACTS} SELECT source_filename AS document, page_number AS page, 'ungrounded_evidence' AS type, 'Fact ''' || predicate || ': ' || raw_value || ''' failed grounding.' AS what,
   'LLM evidence quote ''' || substr(evidence_quote, 1, 60) || '...'' was not found in source text.' AS why, 'Flagged fact as UNGROUNDED with low confidence (0.2).' AS handling, 'Pass the text around the quote to anchor it.' AS improvement FROM facts WHERE NOT is_grounded"""
 ORACLES["json_export"] = f"WITH {_FACTS} SELECT id, subject, norm_num, is_grounded FROM facts"
+ORACLES["match_modes"] = f"WITH {_FACTS} SELECT a.id AS a_id, b.id AS b_id, a.predicate = b.predicate AS shared FROM facts a JOIN facts b ON a.k = b.k AND a.side = 'A' AND b.side = 'B'"
+ORACLES["match_across_documents"] = "SELECT 'doc-A' AS doc_a, 'doc-B' AS doc_b, count(*) AS pairs, count(*) AS subjects FROM (SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) HAVING count(*) > 0"
+
+
+def _notations(part: int) -> str:
+    value = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    return " ".join(f"WHEN {i} THEN {value(n[part])}" for i, n in enumerate(NOTATIONS))
+
+
+ORACLES["parse_notations"] = f"""WITH l AS (SELECT l_orderkey * 8 + l_linenumber AS id, (l_orderkey * 8 + l_linenumber) % {len(NOTATIONS)} AS kind, l_quantity::int AS q FROM lineitem)
+  SELECT id, (CASE kind {_notations(0)} END) || CASE WHEN (CASE kind {_notations(3)} END) THEN q::varchar ELSE '' END || (CASE kind {_notations(1)} END) AS raw_value,
+    round((CASE kind {_notations(2)} END)::double * q, 4) AS num, CASE kind {_notations(4)} END::varchar AS unit, CASE kind {_notations(5)} END AS value_type FROM l"""
+ORACLES["scope_of_partners"] = f"""WITH {_FACTS}, p AS (SELECT 'rel_' || a.id || '_' || b.id AS id FROM facts a JOIN facts b ON a.k = b.k AND a.side = 'A' AND b.side = 'B')
+  SELECT id, 'RECONCILABLE' AS relationship_type, 0.95::double AS confidence, 'Differing inclusion of partner agents (''includes partner staff'' vs ''excludes partner staff'')' AS contextual_difference FROM p"""
+_ANSWERED = """d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN substr(coalesce(text, ''), greatest(length(coalesce(text, '')) - 79, 1), 60) ELSE substr(coalesce(text, ''), 11, 60) END AS quote, coalesce(text, '') AS page FROM documents),
+  g AS (SELECT *, quote <> '' AND contains(page, quote) AS found FROM d WHERE doc_id % 10 NOT IN (7, 8))"""
+ORACLES["facts_of_whole_texts"] = f"""WITH {_ANSWERED} SELECT doc_id::varchar AS source_document_id, 'net_profit' AS predicate, round((doc_id % 500)::double / 10, 4) AS norm_num, 'INR crore' AS unit, 'company|profitability' AS comparison_key, found AS is_grounded, (CASE WHEN found THEN 1.0 ELSE 0.2 END)::double AS confidence FROM g
+  UNION ALL SELECT doc_id::varchar, 'headcount', (doc_id % 1000)::double, 'count', 'company|workforce', false, 0.2::double FROM g"""
+ORACLES["events_of_whole_texts"] = f"""WITH {_ANSWERED} SELECT 'doc-' || doc_id AS document_filename, 'ungrounded_evidence' AS failure_type, 'Fact ''headcount: ' || (doc_id % 1000) || ''' failed grounding.' AS what_happened FROM g
+  UNION ALL SELECT 'doc-' || doc_id, 'ungrounded_evidence', 'Fact ''net_profit: Rs ' || (doc_id % 500) || ' million'' failed grounding.' FROM g WHERE NOT found
+  UNION ALL SELECT 'doc-' || doc_id, 'llm_extraction_error', 'Failed to extract structured JSON from page: ' || CASE WHEN doc_id % 10 = 7 THEN 'the answer is not JSON' ELSE 'an item does not fit the schema' END FROM documents WHERE doc_id % 10 IN (7, 8)"""
+ORACLES["values_in_context"] = f"""WITH {_RAW}, c AS (SELECT *, k % 5 AS c, CASE WHEN kind < 6 OR k % 5 = 0 THEN raw_value WHEN k % 5 = 3 THEN (k % 900 + 100)::varchar || '.250' ELSE (k % 1000)::varchar END AS shown FROM raw)
+  SELECT id, shown AS raw_value, (CASE WHEN kind = 0 THEN round(round(p, 2) / 10, 4) WHEN kind = 1 THEN round(p, 2) WHEN kind = 2 THEN q + 0.5 WHEN kind = 3 THEN round(q / 1000.0, 4) WHEN kind = 4 AND c = 4 THEN q * 1000 WHEN kind = 4 THEN q * 100 WHEN kind = 5 THEN round(q / 100.0, 4)
+      WHEN c = 0 THEN round(p, 2) WHEN c IN (1, 2) THEN k % 1000 WHEN c = 3 THEN (k % 900 + 100) * 1000 + 250 ELSE (k % 1000) * 100 END)::double AS num,
+    CASE WHEN kind = 2 THEN 'percent' WHEN kind = 3 THEN 'million tonnes' WHEN kind = 4 AND c = 4 THEN 'USD million' WHEN kind < 6 THEN 'INR crore' WHEN c = 0 AND contains(shown, ',') THEN 'INR' WHEN c = 2 THEN 'million' ELSE 'INR crore' END AS unit,
+    CASE WHEN kind = 2 THEN 'percentage' WHEN kind = 3 OR (kind = 6 AND c = 2) THEN 'numeric' ELSE 'currency' END AS value_type FROM c"""
+#: What two saves leave: the second part's confidence, and every fact once.
+_STORED = "stored AS (SELECT * REPLACE ((CASE WHEN k % 3 = 1 THEN confidence ELSE 0.5 END)::double AS confidence) FROM facts)"
+ORACLES["store_facts"] = f"WITH {_FACTS}, {_STORED} SELECT id, confidence, page_number FROM stored WHERE side = 'B' AND is_grounded"
+ORACLES["store_relationships"] = f"WITH {_FACTS}, {_edges('a.is_grounded')} SELECT id, a_id AS fact_a_id, b_id AS fact_b_id, confidence FROM edges WHERE relationship_type = 'CONTRADICTS'"
+ORACLES["store_documents"] = f"WITH {_FACTS}, {_DOCS} SELECT id, filename, extracted_facts_count, 'again' AS status FROM docs"
+ORACLES["store_events"] = f"WITH {_FACTS} SELECT source_filename AS document_filename, page_number, 'ungrounded_evidence' AS failure_type, 'Fact ''' || predicate || ': ' || raw_value || ''' failed grounding.' AS what_happened FROM facts WHERE NOT is_grounded"
+ORACLES["store_cleared"] = f"WITH {_FACTS} SELECT 'facts' AS name, count(*) AS n FROM facts WHERE NOT is_grounded UNION ALL SELECT unnest(['documents', 'relationships', 'processing_events']), 0"
+ORACLES["seeded_store"] = f"""WITH {_FACTS}, {_DOCS}, {_edges('a.is_grounded')} SELECT id, norm_num AS num FROM facts UNION ALL SELECT id, vb FROM edges UNION ALL SELECT id, extracted_facts_count::double FROM docs"""

@@ -8,6 +8,33 @@ from pyspark.sql import functions as F
 from factloom.functions.naming import comparison_key
 
 
+#: Text before and after a whole number, the factor of its value (None: not a number), whether the number stands there, unit and type.
+NOTATIONS = (
+    ("", " crore units", 1.0, True, "INR crore", "currency"),
+    ("$", " crore", 1.0, True, "USD crore", "currency"),
+    ("", " million tonnes", 1.0, True, "million tonnes", "numeric"),
+    ("", " mn parcels", 1.0, True, "million parcels", "numeric"),
+    ("", " million sq ft", 1.0, True, "million sq ft", "numeric"),
+    ("", " mn visits", 1.0, True, "million", "numeric"),
+    # The letters of rupees stand in the word.
+    ("", " mn users", 0.1, True, "INR crore", "currency"),
+    ("$", " million", 1.0, True, "USD million", "currency"),
+    ("", " lakh", 1.0, True, "lakh", "numeric"),
+    ("INR ", " bn", 100.0, True, "INR crore", "currency"),
+    ("", " billion", 1.0, True, "billion", "numeric"),
+    ("", " thousand", 1000.0, True, "count", "numeric"),
+    ("Rs. ", "", 1.0, True, "INR", "currency"),
+    ("USD ", "", 1.0, True, "USD", "currency"),
+    ("", " pin", 1.0, True, "pin_codes", "numeric"),
+    ("-", "", -1.0, True, "count", "numeric"),
+    ("", " per cent", 1.0, True, "percent", "percentage"),
+    ("J", "Mn", 0.1, True, "INR crore", "currency"),
+    ("Plot ", " in a long road of the town", None, True, None, "text"),
+    ("none at all", "", None, False, None, "text"),
+    ("", "", None, False, None, "unknown"),
+)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

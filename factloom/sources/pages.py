@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import or_empty, strip
@@ -39,6 +40,7 @@ def select_pages(pages: DataFrame, wanted: DataFrame | dict[str, list[int]] | li
 def finished_pages(pages: DataFrame, low: int = LOW_TEXT) -> DataFrame:
     """Strips texts and adds char_count and warnings. pages: document_id, source_filename, page_number, text."""
     p = pages.withColumn("text", strip(or_empty(F.col("text")))).withColumn("char_count", F.length("text").cast("int"))
+    # Fixed value: the warning's wording.
     warning = F.format_string("Page %d produced minimal text (%d chars). May be scanned, graphical, or blank.", F.col("page_number"), F.col("char_count"))
     return p.withColumn("warnings", F.when(F.col("char_count") < low, F.array(warning)).otherwise(F.array().cast("array<string>")))
 
@@ -52,31 +54,49 @@ def documents_of(pages: DataFrame, page_counts: DataFrame | None = None) -> Data
     return docs.join(counts, "id", "left").select("id", "filename", "page_count", "processed_pages", zero.alias("extracted_facts_count"), zero.alias("grounded_facts_count"), F.lit("extracted").alias("status"), "warnings", F.current_timestamp().alias("created_at"))
 
 
-def read_files(spark: SparkSession, folder: str, reader: Callable[[bytes], list[str]], pattern: str = "*.pdf", wanted: dict[str, list[int]] | list[int] | None = None) -> DataFrame:
-    """Pages of the files in a folder. reader gives the text of each page of a file's bytes; it runs on the executors, once a file. Wanted pages are pruned before anything else sees them."""
+Reader = Callable[..., list[str] | tuple[int, list[tuple[int, str]]]]
+
+
+def read_files(spark: SparkSession, folder: str, reader: Reader, pattern: str = "*.pdf", wanted: dict[str, list[int]] | list[int] | None = None) -> DataFrame:
+    """Pages of the files in a folder. The reader runs on the executors, once a file. It is given a file's bytes and returns the text of each page; or, if it takes a second parameter, also the wanted page numbers (or None for all), and returns the number of pages and (page number, text) of the wanted ones, so that the others are never extracted.
+
+    wanted: page numbers for all files, or by file name; files without any keep all pages. A folder that isn't there raises FileNotFoundError; a folder without such files has no pages."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(folder)
+    prunes = len(inspect.signature(reader).parameters) > 1
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     files = files.select(document_id(F.col("content")).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("source_filename"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, name, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                texts = reader(content)
-                n = len(texts)
-                yield pa.RecordBatch.from_pydict({"document_id": [i] * n, "source_filename": [name] * n, "page_number": pa.array(range(1, n + 1), pa.int32()), "page_count": pa.array([n] * n, pa.int32()), "text": pa.array(texts, pa.string())})
+                asked = wanted.get(name) if isinstance(wanted, dict) else wanted
+                asked = set(asked) if asked else None
+                if prunes:
+                    count, pages = reader(content, asked)
+                else:
+                    texts = reader(content)
+                    count, pages = len(texts), [(k, t) for k, t in enumerate(texts, 1) if asked is None or k in asked]
+                n = len(pages)
+                yield pa.RecordBatch.from_pydict({"document_id": [i] * n, "source_filename": [name] * n, "page_number": pa.array([p[0] for p in pages], pa.int32()), "page_count": pa.array([count] * n, pa.int32()), "text": pa.array([p[1] for p in pages], pa.string())})
 
-    pages = files.mapInArrow(run, "document_id string, source_filename string, page_number int, page_count int, text string")
-    return finished_pages(select_pages(pages, wanted))
+    return finished_pages(files.mapInArrow(run, "document_id string, source_filename string, page_number int, page_count int, text string"))
 
 
-def pdf_reader() -> Callable[[bytes], list[str]]:
-    """A reader of PDF files, where a PDF library is installed."""
+def pdf_reader() -> Reader:
+    """A reader of PDF files, where a PDF library is installed. Only wanted pages are extracted."""
     try:
         from pypdf import PdfReader
     except ImportError as e:
         raise RuntimeError("reading PDF files needs the pypdf library; give read_files another reader, or use text pages") from e
     import io
 
-    return lambda content: [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+    def read(content: bytes, wanted: set[int] | None) -> tuple[int, list[tuple[int, str]]]:
+        pages = PdfReader(io.BytesIO(content)).pages
+        return len(pages), [(i, pages[i - 1].extract_text() or "") for i in range(1, len(pages) + 1) if wanted is None or i in wanted]
+
+    return read
 
 
 def plain_text_reader(content: bytes) -> list[str]:
@@ -89,9 +109,3 @@ def pages_from_text(docs: DataFrame, id_: str = "doc_id", text: str = "text", fi
     name = F.concat(F.lit("doc-"), F.col(id_).cast("string")) if filename is None else filename
     lines = docs.select(F.col(id_).cast("string").alias("document_id"), name.alias("source_filename"), F.posexplode(F.split(or_empty(F.col(text)), "\n")).alias("_i", "text"))
     return finished_pages(lines.select("document_id", "source_filename", (F.col("_i") + 1).cast("int").alias("page_number"), "text"))
-
-
-def latest_pages(pages: DataFrame) -> DataFrame:
-    """One row for each page of a document, should a file have been read twice."""
-    w = Window.partitionBy("document_id", "page_number").orderBy("source_filename", "text")
-    return pages.withColumn("_i", F.row_number().over(w)).filter("_i = 1").drop("_i")

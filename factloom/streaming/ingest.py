@@ -15,8 +15,8 @@ from factloom.plans.pipeline import relate
 
 def ingest_batch(store: FactStore, answers: DataFrame) -> None:
     facts, events = facts_from_answers(answers)
-    store.save("facts", facts.dropDuplicates(["id"]))
-    store.save("processing_events", events.dropDuplicates(["id"]))
+    store.save("facts", facts)
+    store.save("processing_events", events)
     relate(store)
 
 

@@ -11,10 +11,10 @@ from factloom.operators.classify import relationships, undecided
 from factloom.operators.facts import facts_from_answers
 from factloom.operators.pairing import candidate_pairs
 from factloom.operators.salience import salient_pages
-from factloom.operators.store import FactStore, export_json, seed
+from factloom.operators.store import FactStore, export_json, seed, upsert
 from factloom.plans.pipeline import ingest, relationship_rows
-from factloom.sources.models import ask_json, judged_pairs
-from factloom.sources.pages import finished_pages, plain_text_reader, read_files
+from factloom.sources.models import HttpModel, ask_json, judged_pairs
+from factloom.sources.pages import finished_pages, list_files, pdf_reader, plain_text_reader, read_files
 
 
 def fact(id_, doc, **more):
@@ -202,3 +202,134 @@ def test_stream(spark, tmp_path):
 
 def test_empty_tables(spark):
     assert relationships(candidate_pairs(spark.createDataFrame([], FACT))).count() == 0
+
+
+def twice_over(path):
+    """A model that writes a line for each request, and gives one fact twice in an answer."""
+
+    def factory():
+        def reply(prompt):
+            with open(path, "a") as f:
+                f.write(prompt[:40].replace("\n", " ") + "\n")
+            item = ("Borealis Works", "revenue", "Rs 12 Cr", None, "revenue of Rs 12 Cr")
+            return answer(item, item)
+
+        return reply
+
+    return factory
+
+
+def test_repeated_facts_stay_one_and_pages_are_asked_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Borealis Works reports revenue of Rs 12 Cr for the whole of the year.")
+    pages = read_files(spark, str(tmp_path), plain_text_reader, "*.txt")
+    store = FactStore(spark, str(tmp_path / "store"))
+    for n in (1, 2, 3):
+        assert ingest(store, pages, twice_over(str(tmp_path / "asked")))["facts"] == 1
+        assert len((tmp_path / "asked").read_text().splitlines()) == n
+    assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith("_kept")]
+
+
+def test_upsert_of_repeated_keys(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("b", 2, "y")], "id string, n int, s string")
+    new = spark.createDataFrame([("a", 5, "u"), ("a", 6, "t"), ("c", 7, "v"), ("c", 7, "v")], "id string, n int, s string")
+    assert sorted(map(tuple, upsert(old, new, ("s",)).collect())) == [("a", 6, "x"), ("b", 2, "y"), ("c", 7, "v")]
+
+
+def test_replace_leaves_the_old_version_on_failure(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "s"))
+    store.replace("facts", facts(spark, fact("a", "d1")))
+    reading = store.read("facts")
+    with pytest.raises(Exception, match="no such luck"):
+        store.replace("facts", facts(spark, fact("b", "d1")).withColumn("subject", F.raise_error(F.lit("no such luck")).cast("string")))
+    assert [r.id for r in store.facts().collect()] == ["a"]
+    store.replace("facts", facts(spark, fact("b", "d1")))
+    assert [r.id for r in store.facts().collect()] == ["b"] and reading.count() == 1
+
+
+def test_only_wanted_pages_are_extracted(spark, tmp_path):
+    (tmp_path / "a.bin").write_text("first\fsecond\fthird")
+    (tmp_path / "b.bin").write_text("one\ftwo")
+
+    def reader(content, wanted):
+        pages = content.decode().split("\f")
+        assert wanted is None or wanted == {2, 9}
+        return len(pages), [(i, p) for i, p in enumerate(pages, 1) if wanted is None or i in wanted]
+
+    got = read_files(spark, str(tmp_path), reader, "*.bin", {"a.bin": [2, 9]})
+    assert sorted((r.source_filename, r.page_number, r.page_count, r.text) for r in got.collect()) == [("a.bin", 2, 3, "second"), ("b.bin", 1, 2, "one"), ("b.bin", 2, 2, "two")]
+    plain = read_files(spark, str(tmp_path), plain_text_reader, "*.bin", [2])
+    assert sorted((r.source_filename, r.page_number) for r in plain.collect()) == [("a.bin", 2), ("b.bin", 2)]
+    assert [r.source_filename for r in list_files(spark, str(tmp_path), "*.bin").collect()] == ["a.bin", "b.bin"]
+    with pytest.raises(FileNotFoundError):
+        read_files(spark, str(tmp_path / "nowhere"), plain_text_reader)
+
+
+def test_pdf_reader_extracts_wanted_pages_alone(spark, monkeypatch):
+    import sys
+    import types
+
+    read = []
+
+    class Page:
+        def __init__(self, n):
+            self.n = n
+
+        def extract_text(self):
+            read.append(self.n)
+            return None if self.n == 3 else f"page {self.n}"
+
+    fake = types.ModuleType("pypdf")
+    fake.PdfReader = lambda stream: types.SimpleNamespace(pages=[Page(i) for i in (1, 2, 3)])
+    monkeypatch.setitem(sys.modules, "pypdf", fake)
+    reader = pdf_reader()
+    assert reader(b"", {1, 3, 7}) == (3, [(1, "page 1"), (3, "")]) and read == [1, 3]
+    assert reader(b"", None)[1][1] == (2, "page 2")
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    with pytest.raises(RuntimeError):
+        pdf_reader()
+
+
+def test_http_model():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        failed = False
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if not Handler.failed:
+                Handler.failed = True
+                self.send_error(503)
+                return
+            body = json.dumps({"choices": [{"message": {"content": f"{asked['model']}: {asked['messages'][0]['content']}"}}]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = HttpModel(f"http://127.0.0.1:{server.server_port}/", "small", "secret")
+    assert model.is_available() and model("hello") == "small: hello"
+    server.shutdown()
+    none = HttpModel("http://127.0.0.1:1/", "small", " ")
+    assert not none.is_available()
+    with pytest.raises(RuntimeError):
+        none("hello")
+
+
+def test_seed_from_one_document(spark, tmp_path):
+    from factloom.operators.store import seed_from_document
+
+    f = {"id": "a", "subject": "Borealis", "predicate": "revenue", "raw_value": "12", "value_type": "numeric", "source_document_id": "d", "source_filename": "d.pdf", "page_number": 2, "evidence_quote": "q", "is_grounded": True}
+    t = f | {"id": "b", "normalized_value": "in words", "value_type": "text"}
+    edge = {"id": "rel_a_b", "fact_a_id": "a", "fact_b_id": "b", "relationship_type": "CONTRADICTS", "confidence": 0.9, "fact_a": f | {"normalized_value": 12.5}, "fact_b": t}
+    (tmp_path / "run.json").write_text(json.dumps({"all_facts": [f | {"normalized_value": 12.5}, t], "relationships": [edge]}, indent=1))
+    got, edges = seed_from_document(spark, str(tmp_path / "run.json"))
+    assert sorted((r.id, r.norm_num, r.norm_text) for r in got.collect()) == [("a", 12.5, None), ("b", None, "in words")]
+    r = one(edges)
+    assert (r.relationship_type, r.fact_a.norm_num, r.fact_b.norm_text) == ("CONTRADICTS", 12.5, "in words")
