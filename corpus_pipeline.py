@@ -1,6 +1,8 @@
 """A corpus pipeline: language, toxicity, near duplicates, packing.
 
 Each stage gets (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of docs; the last returns the packed pieces.
+Edge cases: a null, empty or letterless text is in no language, so the first stage rejects it; equal texts are one class, of which the row of least doc_id stays (a missing doc_id counts as the greatest); of repeated rows one stays; extra columns, whatever their names, go along; an empty table gives no pieces. Only doc_id, text, lang (for training) and labels are read.
+
 A stage's result is written as Parquet to the folder that driver and executors share and read again, so a lost executor never repeats an earlier stage.
 """
 
@@ -11,23 +13,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import shared_dir, table
+from factloom.llm.common import shared_dir, table, unused
 
 #: A document whose most likely language is less likely than this is rejected, like one without letters.
 MIN_LANGUAGE_SCORE = 0.5
 
 
-def _new_name(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no known language."""
     from factloom.llm.language import UNKNOWN, train, with_language
 
-    label, score = _new_name(docs, "_lang_pred"), _new_name(docs, "_lang_score")
+    label, score = unused(docs, "_lang_pred"), unused(docs, "_lang_score")
     marked = with_language(docs, train(docs), label, score)
     return marked.filter((F.col(label) != UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
@@ -36,7 +32,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score reaches the threshold."""
     from factloom.llm.toxicity import THRESHOLD, train, with_toxicity
 
-    score = _new_name(docs, "_toxicity")
+    score = unused(docs, "_toxicity")
     return with_toxicity(docs, train(docs, table(spark, sf_dir, "labels")), score).filter(F.col(score) < THRESHOLD).select(*docs.columns)
 
 

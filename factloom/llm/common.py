@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.plans.pipeline import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests, a single machine), a temporary folder is set once."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 Texts are lower-cased; everything but letters counts as one blank. n-grams of one to three characters are hashed; those that are frequent in the training sample are features, weighted by log(1 + count) and inverse document frequency and scaled to length 1.
 The weights are learned by follow-the-regularised-leader with an L1 and an L2 penalty, which leaves most of them zero. A temperature, fitted on a part of the sample that the weights have not seen, makes the scores probabilities.
 
-The sample is bounded: about DOCS_PER_LANGUAGE documents of each label. Predictions read whole texts.
+The sample is bounded: about DOCS_PER_LANGUAGE documents of each label, whatever their number, which like the model grows with the labels and not with the documents. Predictions read whole texts.
 Edge cases: a null text or one without letters is `und` with score 0; with no labelled rows every text is `und`; repeated rows get equal predictions; columns of the input other than doc_id and text play no part.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOCS_PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
 FEATURES = 6000
 HASH_BITS = 18
 L1, L2, ALPHA, BETA = 0.3, 0.5, 0.5, 1.0
@@ -31,18 +31,21 @@ UNKNOWN = "und"
 CHUNK = 500_000
 
 
-def _letter_table() -> np.ndarray:
-    """Code points below 0x2500 to themselves where they are letters, else to a blank."""
-    return np.array([c if chr(c).isalpha() else 32 for c in range(0x2500)], dtype=np.uint32)
+@functools.cache
+def _letters() -> np.ndarray:
+    """Every code point to itself where it is a letter, else to a blank."""
+    return np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], dtype=np.uint32)
 
 
-_LETTERS = _letter_table()
+def has_letter(text: str) -> bool:
+    # Python's word characters hold numerals such as 2 raised or Roman ones too, which are no letters.
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
 
 
 def grams(text: str) -> np.ndarray:
     """Hashes of all n-grams of a text."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = np.where(c < 0x2500, _LETTERS[np.minimum(c, 0x24FF)], c)
+    c = _letters()[c]
     c = c[(c != 32) | np.concatenate(([True], c[:-1] != 32))]
     top = np.uint32(32 - HASH_BITS)
     one = c * np.uint32(2654435761)
@@ -144,14 +147,11 @@ def fold(doc_id: str, parts: int) -> Column:
 def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model | None:
     """Fits on about per_language labelled documents of each language, chosen by the hash of their ids; those with fold 2 of 4 are left out."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    rate = F.lit(0.0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(rate)
+    rate = known.groupBy("lang").agg((F.lit(per_language) / F.count("*")).alias("rate"))
     share = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.filter(share < rate).select("doc_id", "lang", "text").collect()
+    rows = known.join(F.broadcast(rate), "lang").filter(share < F.col("rate")).select("doc_id", "lang", "text").collect()
     rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
-    rows = [r for r in rows if LETTER.search(r[2])]
+    rows = [r for r in rows if has_letter(r[2])]
     return fit([r[2] for r in rows], [r[1] for r in rows])
 
 
@@ -165,7 +165,7 @@ def with_language(docs: DataFrame, model: Model | None, label: str = "lang_pred"
         for b in batches:
             names, scores = [], []
             for t in b.column(at).to_pylist():
-                if m is None or t is None or not LETTER.search(t):
+                if m is None or t is None or not has_letter(t):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue

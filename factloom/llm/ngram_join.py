@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, cut_small
+from factloom.llm.common import cut, cut_small, unused
 from factloom.llm.components import components
 
 WORDS = 5
@@ -309,11 +309,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The document of least doc_id of each class, with all its columns. Of rows with equal doc_id and text one stays."""
     rows = cut(jaccard_join(docs, threshold, recall).groupBy("class_key", "doc_id", "text_key").agg(F.count("*").alias("n")))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("b")
-    keep = rows.groupBy("class_key").agg(best).select(F.col("b.doc_id").alias("_id"), F.col("b.text_key").alias("_t"), F.col("b.n").alias("_n"))
-    marked = docs.withColumn("_t", text_hash(F.coalesce("text", F.lit("")))).withColumn("_id", F.col("doc_id").cast("long"))
+    id_, t, n = (unused(docs, c) for c in ("_id", "_t", "_n"))
     no_id = F.lit(-(1 << 62)).cast("long")
-    keyed = lambda df: df.withColumn("_id", F.coalesce("_id", no_id))
-    kept = keyed(marked).join(keyed(keep), ["_id", "_t"])
-    single = kept.filter("_n = 1").select(*docs.columns)
-    return single.unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_t"]).select(*docs.columns))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("b")
+    keep = rows.groupBy("class_key").agg(best).select(F.coalesce("b.doc_id", no_id).alias(id_), F.col("b.text_key").alias(t), F.col("b.n").alias(n))
+    marked = docs.withColumns({t: text_hash(F.coalesce("text", F.lit(""))), id_: F.coalesce(F.col("doc_id").cast("long"), no_id)})
+    kept = marked.join(keep, [id_, t])
+    single = kept.filter(F.col(n) == 1).select(*docs.columns)
+    return single.unionByName(kept.filter(F.col(n) > 1).dropDuplicates([id_, t]).select(*docs.columns))

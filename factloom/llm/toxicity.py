@@ -1,10 +1,10 @@
 """Toxicity: Levenshtein automata over a lexicon trie, and the context of what they find.
 
 The lexicon is learned from labelled documents. A term is a word that stands in toxic documents only, or nearly, beside many different words, so that copies of one text teach nothing. A stem is the beginning of many such words.
-Terms and stems form a trie. Words of a text run through the intersection of that trie with the Levenshtein automaton of one edit, made deterministic as it is used, so a word is read once whatever the lexicon's size and most are left after a few letters. A term may be one edit away; a stem must be met exactly, with any ending.
+Terms and stems form a trie. Words of a text run through the intersection of that trie with the Levenshtein automaton of one edit, made deterministic as it is used, so a word is read once whatever the lexicon's size and most are left after a few letters. A term may be one edit away, also where it begins with a stem; a stem must be met exactly, with any ending.
 Each place is looked at in a window of WINDOW characters: within quotation marks, or after a word of reporting, it counts as quoted. A logistic regression weighs plain, misspelled and quoted places against each other.
 
-The labelled sample is bounded by MAX_LABELLED documents of each label; scores read whole texts of all documents.
+The labelled sample is bounded by MAX_LABELLED documents of each label, and the lexicon by that sample's words; scores read whole texts of all documents.
 Edge cases: null and empty texts have no places and get the score of that; with no labelled rows the lexicon is empty and all scores are 0; repeated rows get equal scores; columns of the input other than doc_id and text play no part.
 """
 
@@ -28,7 +28,6 @@ STEM_LENGTHS = (4, 10)
 #: A term's or stem's share of toxic documents is so many times its share of the others, at least.
 LIFT = 25.0
 MIN_CONTEXTS, MIN_STEM_WORDS = 4, 5
-MAX_TERMS = 20_000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W_]+")
 #: Words and results that a worker keeps at most.
@@ -215,12 +214,12 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     stems = stems.groupBy(F.expr("substring(word, 1, k)").alias("stem")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.least("contexts", F.lit(3))).alias("contexts"), F.count_if(F.col("p") > 0).alias("kinds"), F.max(F.col("p")).alias("most"))
     # Many words, none of which makes up the stem alone.
     stems = stems.filter((F.col("kinds") >= MIN_STEM_WORDS) & (F.col("contexts") >= 2 * MIN_CONTEXTS) & (2 * F.col("most") <= F.col("p")) & (lift >= LIFT))
-    found = [r[0] for r in words.filter(good).orderBy(F.desc("p"), "word").limit(MAX_TERMS).select("word").collect()]
+    found = [r[0] for r in words.filter(good).orderBy(F.desc("p"), "word").select("word").collect()]
     roots: list[str] = []
-    for s in sorted((r[0] for r in stems.orderBy(F.desc("p"), "stem").limit(MAX_TERMS).select("stem").collect()), key=lambda s: (len(s), s)):
+    for s in sorted((r[0] for r in stems.orderBy(F.desc("p"), "stem").select("stem").collect()), key=lambda s: (len(s), s)):
         if not any(s.startswith(r) for r in roots):
             roots.append(s)
-    return sorted(t for t in found if not any(t.startswith(r) for r in roots)), roots
+    return sorted(found), roots
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
