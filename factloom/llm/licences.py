@@ -8,6 +8,7 @@ Edge cases: null counts as empty; texts without words have no places; overlappin
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,6 +34,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -177,27 +186,34 @@ class SuffixAutomaton:
         return places, self._chains(matches)
 
     def _chains(self, matches: list[tuple[int, int, int]]) -> list[Span]:
+        """Chains of matches, in order in text and template. A match that overlaps the chain before it, in either, is trimmed at its start; the best chain that ends with each match is kept open until the text has gone MAX_GAP words on. Of chains that overlap in the text, the one that covers most of its template is reported."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for a, z, s in matches:
             for t, end in self.ends[s]:
                 by_template.setdefault(t, []).append((a, z, end - (z - a) + 1))
         out = []
         for t, found in by_template.items():
-            found.sort()
-            open_: list[tuple[int, int, int, int]] = []  # start, end, template end, covered
-            done: list[tuple[int, int, int, int]] = []
-            for a, z, ta in found:
-                fits = [c for c in open_ if 0 <= a - c[1] <= MAX_GAP and 0 <= ta - c[2] <= MAX_GAP]
-                best = max(fits, key=lambda c: c[3], default=None)
-                chain = (best[0] if best else a, z, ta + z - a, (best[3] if best else 0) + z - a)
-                done += [c for c in open_ if a - c[1] > MAX_GAP]
-                open_ = [c for c in open_ if a - c[1] <= MAX_GAP and c is not best]
-                open_.append(chain)
             size = self.sizes[t]
-            for a, z, _, covered in done + open_:
-                if covered >= MIN_COVER * size or (size > LONG_WORDS and covered >= LONG_COVER):
+            least = min(MIN_COVER * size, LONG_COVER) if size > LONG_WORDS else MIN_COVER * size
+            open_: list[tuple[int, int, int, int]] = []  # start, end, template end, covered
+            enough: list[tuple[int, int, int]] = []
+            for a, z, ta in sorted(found):
+                open_ = [c for c in open_ if a - c[1] <= MAX_GAP]
+                start, covered = a, z - a
+                for c in open_:
+                    trim = max(0, c[1] - a, c[2] - ta)
+                    if trim < z - a and a + trim - c[1] <= MAX_GAP and ta + trim - c[2] <= MAX_GAP and (c[3] + z - a - trim, -c[0]) > (covered, -start):
+                        start, covered = c[0], c[3] + z - a - trim
+                open_.append((start, z, ta + z - a, covered))
+                if covered >= least:
+                    enough.append((covered, start, z))
+            taken: list[tuple[int, int]] = []
+            for covered, a, z in sorted(enough, key=lambda c: (-c[0], c[1], c[2])):
+                at = bisect.bisect(taken, (a, z))
+                if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or z <= taken[at][0]):
+                    taken.insert(at, (a, z))
                     out.append(Span(self.templates[t][0], a, z, covered / size))
-        return out
+        return sorted(out, key=lambda s: (s.start, s.end, s.label))
 
 
 _AUTOMATA: list[SuffixAutomaton] = []

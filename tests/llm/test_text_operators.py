@@ -16,6 +16,7 @@ from helpers import DATA, ODD, docs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from factloom.llm import licences
 from factloom.llm.bpe_sql import FIRST_PLACE, LONG_RECURSION, Coder, encode_documents
 from factloom.llm.common import table
 from factloom.llm.kd_shards import shard_documents
@@ -182,14 +183,67 @@ def test_matching_statistics_against_brute_force():
         assert sorted(places) == want
 
 
+def plain_spans(templates, text):
+    """The most words of each template that a chain of maximal matches covers: all runs compared, all chains tried."""
+    stands = lambda run: any(t[i : i + len(run)] == run for t in templates for i in range(len(t)))
+    best = []
+    for z in range(1, len(text) + 1):
+        a = next(a for a in range(z + 1) if stands(text[a:z]))
+        if z - a >= licences.MIN_MATCH and not (z < len(text) and stands(text[a : z + 1])):
+            best.append((a, z))
+    out = []
+    for t in templates:
+        anchors = sorted((a, z, ta) for a, z in best for ta in range(len(t)) if t[ta : ta + z - a] == text[a:z])
+        covered = []
+        for i, (a, z, ta) in enumerate(anchors):
+            most = z - a
+            for j, (_, pz, pt) in enumerate(anchors[:i]):
+                trim = max(0, pz - a, pt + pz - anchors[j][0] - ta)
+                if a - pz <= licences.MAX_GAP and trim < z - a and a + trim - pz <= licences.MAX_GAP and ta + trim - (pt + pz - anchors[j][0]) <= licences.MAX_GAP:
+                    most = max(most, covered[j] + z - a - trim)
+            covered.append(most)
+        out.append(max(covered, default=0))
+    return out
+
+
+def test_spans_against_brute_force():
+    rng = random.Random(14)
+    for _ in range(60):
+        runs = [[rng.choice("abcdef") for _ in range(12)] for _ in range(3)]
+        a = SuffixAutomaton([(str(i), " ".join(r)) for i, r in enumerate(runs)], {})
+        text = []
+        for _ in range(3):
+            r = list(rng.choice(runs))
+            for _ in range(rng.randrange(3)):
+                k = rng.randrange(len(r))
+                r[k : k + rng.randrange(2)] = [rng.choice("abcdefz")]
+            text += r + [rng.choice("abcz") for _ in range(rng.randrange(4))]
+        most = plain_spans(runs, text)
+        got = defaultdict(float)
+        for s in a.scan(words_of(" ".join(text)))[1]:
+            got[int(s.label)] = max(got[int(s.label)], round(s.cover * 12))
+        assert {i: m for i, m in enumerate(most) if m >= licences.MIN_COVER * 12} == dict(got)
+
+
+def test_repeated_and_inserted_words_keep_one_span():
+    words = [f"t{i}" for i in range(20)]
+    a = SuffixAutomaton([("x", " ".join(words))], {})
+    for text in ([*words[:9], words[7], words[8], *words[9:]], [*words[:5], words[5], words[5], *words[6:]]):
+        (s,) = a.scan([w.encode() for w in text])[1]
+        assert s.cover == 1 and (s.start, s.end) == (0, len(text))
+    grant = words_of(next(t for label, t in licences.TEMPLATES if label == "mit" and t.startswith("Permission")))
+    (s,) = [s for s in SuffixAutomaton().scan([*grant[:30], b"software", *grant[30:]])[1] if s.label == "mit"]
+    assert s.cover == 1 and (s.start, s.end) == (0, len(grant) + 1)
+
+
 def test_language(spark):
     made = {"aa": "the and of that with", "bb": "der und die das mit", "cc": "le la et que pour"}
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(made[lang].split()) for _ in range(30)), lang) for i in range(300) for lang in [("aa", "bb", "cc")[i % 3]]]
-    got = {r.doc_id: r for r in identify(docs(spark, [*((*r, "s") for r in rows), (900, None), (901, "123 !?"), (902, "")])).collect()}
+    got = {r.doc_id: r for r in identify(docs(spark, [*((*r, "s") for r in rows), (900, None), (901, "123 !?"), (902, ""), (903, "\u00bd \u00b2 \u2167 \u2460")])).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert all(got[r[0]].held_out for r in held) and sum(got[r[0]].lang_pred == r[2] for r in held) >= 0.95 * len(held)
-    assert all((got[i].lang_pred, got[i].score) == (UNKNOWN, 0.0) for i in (900, 901, 902))
+    assert all((got[i].lang_pred, got[i].score) == (UNKNOWN, 0.0) for i in (900, 901, 902, 903))
     real = table(spark, DATA, "documents").collect()
     m = fit([r.text for r in real], [r.lang for r in real])
     assert (m.weights == 0).mean() > 0.3
