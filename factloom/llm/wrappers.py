@@ -1,10 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Pages are parsed into element trees in which neighbouring elements of one kind (tag, class and id words) are one node. The trees of a host's pages are aligned by simple tree matching: two nodes match if they are of one kind, and their children are matched in order with the largest total. Aligned trees are merged into the host's template tree, first within each partition, then in groups of partitions, then for the host; each node keeps the few smallest hashes of the texts it has had.
+Pages are parsed into element trees in which neighbouring elements of one kind (tag, class and id words) are one node. The trees of a host's pages are aligned by simple tree matching: two nodes match if they are of one kind, and their children are matched in order with the largest total. Aligned trees are merged into the host's template tree, first within each partition, then in groups of partitions, then for the host; each node keeps the few smallest hashes of the texts it has had, so a template is the same in whatever order pages come.
 A node that has had one text in at least MIN_PAGES different pages is constant: it is template. Varying nodes are slots. Slots are content unless their kind says otherwise (navigation, headers and footers of pages, asides, forms, adverts, notices, comments) or they consist of links. If a page has an article or main element with text, only slots inside it are content.
 
 Every page is then aligned with its host's tree, and the blocks of its content slots are joined. Inline elements do not part words; block elements and line breaks do.
-Edge cases: null or empty html gives an empty text; a missing url is a host of its own; unclosed elements, comments and scripts end where a browser ends them; a host with few pages is judged by kinds alone; equal pages count once in induction; extra columns are ignored.
+Edge cases: null or empty html gives an empty text; a missing url is a host of its own; unclosed elements, comments and scripts end where a browser ends them; a host with few pages is judged by kinds alone; equal pages count as one page where constants are told; a template grows with the different element paths of its host; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import html as entities
 import json
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 
 #: Pages with different texts that a constant must stand in, and hashes that tell constant from varying.
 MIN_PAGES, HASHES = 4, 6
-#: Children of a template node; beyond it those seen on the fewest pages go, and are judged by their kind.
-MAX_CHILDREN = 64
-MAX_DEPTH = 200
+#: Matching goes as deep as pages are nested; it calls Python functions alone, whose frames are on the heap.
+RECURSION = 10_000_000
 LINK_SHARE = 0.7
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
@@ -64,9 +64,16 @@ def kind_of(tag: str, attributes: str) -> str:
 
 
 def parse(page: str) -> Node:
-    """The element tree; a node's parts are texts and nodes in page order."""
+    """The element tree; a node's parts are texts and nodes in page order. Every element is kept, whatever its depth."""
     root = Node("#", "#")
     stack, at, n = [root], 0, len(page)
+    depth: Counter[str] = Counter()  # open elements of each tag
+
+    def close_from(i: int) -> None:
+        for x in stack[i:]:
+            depth[x.tag] -= 1
+        del stack[i:]
+
     while at < n:
         m = TOKEN.search(page, at)
         end = m.start() if m else n
@@ -79,9 +86,11 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
+            if not depth[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close_from(i)
                     break
                 if tag in ("p", "li", "a", "b") and stack[i].tag in SCOPE:
                     break
@@ -89,10 +98,10 @@ def parse(page: str) -> Node:
         closes = {"p"} if tag in CLOSES_P else SIBLINGS.get(tag)
         if tag in SIBLINGS and tag in CLOSES_P:
             closes = SIBLINGS[tag] | {"p"}
-        if closes:
+        if closes and any(depth[c] for c in closes):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closes:
-                    del stack[i:]
+                    close_from(i)
                     break
                 if stack[i].tag in SCOPE:
                     break
@@ -101,26 +110,37 @@ def parse(page: str) -> Node:
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = n if close is None else page.find(">", close.start()) + 1 or n
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            depth[tag] += 1
     return root
 
 
 def collapse(nodes: list[Node], kind: str, tag: str) -> dict:
-    """Nodes of one kind as one: kind, children, own text, length of texts and of those in links."""
-    groups: dict[str, list[Node]] = {}
-    own: list[str] = []
-    for x in nodes:
-        for p in x.parts:
-            if isinstance(p, str):
-                own.append(p)
-            else:
-                groups.setdefault(p.kind, []).append(p)
-    kids = [collapse(g, k, g[0].tag) for k, g in groups.items()]
-    text = SPACE.sub(" ", "".join(own)).strip() if own else ""
-    size = len(text) + sum(c["size"] for c in kids)
-    links = size if tag == "a" else sum(c["links"] for c in kids)
-    return {"kind": kind, "kids": kids, "hash": hash_of([text, *(c["hash"] for c in kids)]), "size": size, "links": links, "nodes": nodes}
+    """Nodes of one kind as one: kind, children by kind, length of texts and of those in links, hash of all text. Children first, without recursion."""
+    top = {"kind": kind, "tag": tag, "nodes": nodes}
+    order, todo = [], [top]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        groups: dict[str, list[Node]] = {}
+        own: list[str] = []
+        for node in x["nodes"]:
+            for p in node.parts:
+                if isinstance(p, str):
+                    own.append(p)
+                else:
+                    groups.setdefault(p.kind, []).append(p)
+        x["text"] = SPACE.sub(" ", "".join(own)).strip() if own else ""
+        x["kids"] = {k: {"kind": k, "tag": g[0].tag, "nodes": g, "i": i} for i, (k, g) in enumerate(groups.items())}
+        todo += x["kids"].values()
+    for x in reversed(order):
+        kids = x["kids"].values()
+        text = x.pop("text")
+        x["size"] = len(text) + sum(c["size"] for c in kids)
+        x["links"] = x["size"] if x["tag"] == "a" else sum(c["links"] for c in kids)
+        x["hash"] = hash_of([text, *(c["hash"] for c in kids)])
+    return top
 
 
 def hash_of(parts: list) -> int:
@@ -129,17 +149,22 @@ def hash_of(parts: list) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")) >> 1
 
 
-def match(a: list[dict], b: list[dict], memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two lists of children: the number of matched nodes, and which children match."""
+def match(x: dict, y: dict, memo: dict) -> tuple[int, list[str]]:
+    """Simple tree matching of the children of two nodes of one kind: the number of matched nodes below them, and the kinds of the matched children. Kinds are unique among siblings, so only those that both have come into question."""
+    both = x["kids"].keys() & y["kids"].keys()
+    if len(both) < 2:
+        kinds = [*both]
+        return weight(x["kids"][kinds[0]], y["kids"][kinds[0]], memo) if kinds else 0, kinds
+    a, b = (sorted((t["kids"][k] for k in both), key=lambda c: c["i"]) for t in (x, y))
     w = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
+    for i, p in enumerate(a):
         row, above = w[i + 1], w[i]
-        for j, y in enumerate(b):
+        for j, q in enumerate(b):
             best = above[j + 1] if above[j + 1] > row[j] else row[j]
-            if x["kind"] == y["kind"]:
-                best = max(best, above[j] + weight(x, y, memo))
+            if p["kind"] == q["kind"]:
+                best = max(best, above[j] + weight(p, q, memo))
             row[j + 1] = best
-    i, j, pairs = len(a), len(b), []
+    i, j, kinds = len(a), len(b), []
     while i and j:
         if w[i][j] == w[i - 1][j]:
             i -= 1
@@ -147,73 +172,110 @@ def match(a: list[dict], b: list[dict], memo: dict) -> tuple[int, list[tuple[int
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return w[len(a)][len(b)], pairs[::-1]
+            kinds.append(a[i]["kind"])
+    return w[len(a)][len(b)], kinds[::-1]
 
 
 def weight(x: dict, y: dict, memo: dict) -> int:
     k = (id(x), id(y))
     if k not in memo:
-        memo[k] = 1 + match(x["kids"], y["kids"], memo)[0]
+        memo[k] = 1 + match(x, y, memo)[0]
     return memo[k]
 
 
+def _template(kind: str, i: int) -> dict:
+    return {"kind": kind, "i": i, "pages": [], "texts": [], "n": 0, "size": 0, "links": 0, "kids": {}}
+
+
 def as_template(x: dict, page: int) -> dict:
-    return {"kind": x["kind"], "pages": [page], "texts": [x["hash"]] if x["size"] else [], "n": 1, "size": x["size"], "links": x["links"], "kids": [as_template(c, page) for c in x["kids"]]}
+    top = _template(x["kind"], 0)
+    todo = [(x, top)]
+    while todo:
+        x, t = todo.pop()
+        t |= {"pages": [page], "texts": [x["hash"]] if x["size"] else [], "n": 1, "size": x["size"], "links": x["links"]}
+        for k, c in x["kids"].items():
+            t["kids"][k] = _template(k, c["i"])
+            todo.append((c, t["kids"][k]))
+    return top
 
 
 def _few(a: list[int], b: list[int]) -> list[int]:
     return sorted({*a, *b})[: HASHES + MIN_PAGES]
 
 
-def merge(t: dict, o: dict, memo: dict | None = None) -> dict:
-    """Adds template tree o to t, whose roots are of one kind."""
-    memo = {} if memo is None else memo
-    pairs = dict((j, i) for i, j in match(t["kids"], o["kids"], memo)[1])
-    for k in ("n", "size", "links"):
-        t[k] += o[k]
-    t["pages"], t["texts"] = _few(t["pages"], o["pages"]), _few(t["texts"], o["texts"])
-    mine = list(t["kids"])
-    by_kind = {c["kind"]: c for c in mine}
-    at = 0
-    for j, c in enumerate(o["kids"]):
-        # A node that matched none is of a kind seen in another order, the same slot, or new: it comes after the one before it.
-        same = mine[pairs[j]] if j in pairs else by_kind.get(c["kind"])
-        if same is None:
-            t["kids"].insert(at, c)
-            by_kind[c["kind"]] = c
-            at += 1
-        else:
-            merge(same, c, memo)
-            at = next(k for k, x in enumerate(t["kids"]) if x is same) + 1
-    if len(t["kids"]) > MAX_CHILDREN:
-        often = {id(x) for x in sorted(t["kids"], key=lambda c: -c["n"])[:MAX_CHILDREN]}
-        t["kids"] = [c for c in t["kids"] if id(c) in often]
+def merge(t: dict, o: dict) -> dict:
+    """Adds template tree o to t, whose roots are of one kind. Children that match are merged, and so are those of a kind seen in another order, which are the same slot; others are new. What a node keeps are sums and smallest hashes, so the result is the same in whatever order trees come."""
+    memo: dict = {}
+    todo = [(t, o)]
+    while todo:
+        x, y = todo.pop()
+        matched = match(x, y, memo)[1]
+        for k in ("n", "size", "links"):
+            x[k] += y[k]
+        x["pages"], x["texts"] = _few(x["pages"], y["pages"]), _few(x["texts"], y["texts"])
+        for k in (*matched, *(y["kids"].keys() - set(matched))):
+            if k in x["kids"]:
+                todo.append((x["kids"][k], y["kids"][k]))
+            else:
+                x["kids"][k] = y["kids"][k]
     return t
 
 
 def decide(t: dict) -> dict:
     """The wrapper: kinds with T (template), L (links), or nothing for slots; nothing is kept below template. Inline elements belong to the text around them and are never judged alone."""
-    if t["kind"] != "#" and t["kind"].split(".")[0] not in BLOCK:
-        return {"kind": t["kind"], "d": "", "kids": []}
-    constant = len(t["pages"]) >= MIN_PAGES and len(t["texts"]) == 1
-    d = "T" if constant else "L" if t["size"] and t["links"] >= LINK_SHARE * t["size"] else ""
-    kids = [] if d else [decide(c) for c in t["kids"]]
-    return {"kind": t["kind"], "d": d, "kids": kids}
+    top = {"kind": t["kind"], "i": t["i"], "d": "", "kids": {}}
+    todo = [(t, top)]
+    while todo:
+        t, w = todo.pop()
+        if t["kind"] != "#" and t["kind"].split(".")[0] not in BLOCK:
+            continue
+        constant = len(t["pages"]) >= MIN_PAGES and len(t["texts"]) == 1
+        w["d"] = "T" if constant else "L" if t["size"] and t["links"] >= LINK_SHARE * t["size"] else ""
+        if not w["d"]:
+            for k, c in t["kids"].items():
+                w["kids"][k] = {"kind": k, "i": c["i"], "d": "", "kids": {}}
+                todo.append((c, w["kids"][k]))
+    return top
+
+
+def dumps(t: dict) -> str:
+    """A tree as a flat list in preorder, each node with the number of its children, since deep nesting is not for JSON."""
+    flat, todo = [], [t]
+    while todo:
+        x = todo.pop()
+        kids = sorted(x["kids"].values(), key=lambda c: c["kind"])
+        flat.append([x[k] for k in x if k != "kids"] + [len(kids)])
+        todo += reversed(kids)
+    return json.dumps([[k for k in t if k != "kids"], flat], ensure_ascii=False)
+
+
+def loads(s: str) -> dict:
+    names, flat = json.loads(s)
+    top: dict = {"kids": {}}
+    open_ = [[top, 1]]
+    for *values, n in flat:
+        while not open_[-1][1]:
+            open_.pop()
+        node = dict(zip(names, values, strict=True)) | {"kids": {}}
+        open_[-1][0]["kids"][node["kind"]] = node
+        open_[-1][1] -= 1
+        open_.append([node, n])
+    return next(iter(top["kids"].values()))
 
 
 def apply(x: dict, wrapper: dict, memo: dict) -> None:
     """Marks the page's nodes with the decisions of the aligned wrapper nodes."""
-    if wrapper["d"]:
-        for node in x["nodes"]:
-            node.decision = wrapper["d"]
-        return
-    pairs = {i: wrapper["kids"][j] for i, j in match(x["kids"], wrapper["kids"], memo)[1]}
-    by_kind = {w["kind"]: w for w in wrapper["kids"]}
-    for i, kid in enumerate(x["kids"]):
-        slot = pairs.get(i) or by_kind.get(kid["kind"])
-        if slot:
-            apply(kid, slot, memo)
+    todo = [(x, wrapper)]
+    while todo:
+        x, w = todo.pop()
+        if w["d"]:
+            for node in x["nodes"]:
+                node.decision = w["d"]
+            continue
+        matched = match(x, w, memo)[1]
+        for k in (*matched, *(x["kids"].keys() - set(matched))):
+            if k in w["kids"]:
+                todo.append((x["kids"][k], w["kids"][k]))
 
 
 def _noise(node: Node, inside: bool) -> bool:
@@ -225,37 +287,48 @@ def _noise(node: Node, inside: bool) -> bool:
     return node.tag not in ("html", "body", "article", "main", "p") and any(w in NOISE for w in words)
 
 
-def _text_size(node: Node, inside: bool) -> int:
-    if _noise(node, inside):
-        return 0
-    return sum(len(p.strip()) if isinstance(p, str) else _text_size(p, inside or p.tag in HOLDS) for p in node.parts)
+def _has_text(node: Node, inside: bool) -> bool:
+    todo = [(node, inside)]
+    while todo:
+        x, within = todo.pop()
+        if _noise(x, within):
+            continue
+        for p in x.parts:
+            if isinstance(p, str):
+                if p.strip():
+                    return True
+            else:
+                todo.append((p, within or p.tag in HOLDS))
+    return False
 
 
-def _holders(node: Node) -> list[Node]:
+def _holders(root: Node) -> list[Node]:
     """The outermost article or main elements with text, outside noise."""
-    out = []
-    for p in node.parts:
-        if isinstance(p, Node) and not _noise(p, False):
-            if p.tag in HOLDS or "main" in p.kind.split(".")[1:]:
-                if _text_size(p, True):
-                    out.append(p)
-            else:
-                out += _holders(p)
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x is not root and (x.tag in HOLDS or "main" in x.kind.split(".")[1:]):
+            if _has_text(x, True):
+                out.append(x)
+            continue
+        todo += [p for p in reversed(x.parts) if isinstance(p, Node) and not _noise(p, False)]
     return out
 
 
 def _blocks(node: Node, inside: bool, out: list[list[str]]) -> None:
-    for p in node.parts:
-        if isinstance(p, str):
-            out[-1].append(p)
-            continue
-        block = p.tag in BLOCK
-        if block:
-            out.append([])
-        if not _noise(p, inside):
-            _blocks(p, inside, out)
-        if block:
+    todo: list = [*reversed(node.parts)]
+    while todo:
+        p = todo.pop()
+        if p is None:
             out.append([])
+        elif isinstance(p, str):
+            out[-1].append(p)
+        else:
+            if p.tag in BLOCK:
+                out.append([])
+                todo.append(None)
+            if not _noise(p, inside):
+                todo += reversed(p.parts)
 
 
 def main_text(page: str, wrapper: dict | None) -> str:
@@ -273,29 +346,24 @@ def main_text(page: str, wrapper: dict | None) -> str:
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A template for each host of a partition."""
-    sys.setrecursionlimit(20_000)
+    sys.setrecursionlimit(RECURSION)
     found: dict[str, dict] = {}
-    seen: dict[str, set[int]] = {}
     for b in batches:
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if page:
                 x = collapse([parse(page)], "#", "#")
-                if x["hash"] in seen.setdefault(host, set()):
-                    continue
-                if len(seen[host]) < 10_000:
-                    seen[host].add(x["hash"])
                 t = as_template(x, x["hash"])
                 found[host] = merge(found[host], t) if host in found else t
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(t, ensure_ascii=False) for t in found.values()], pa.string())], ["host", "tree"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([dumps(t) for t in found.values()], pa.string())], ["host", "tree"])
 
 
 def _merged(last: bool):
     def run(t: pa.Table) -> pa.Table:
-        sys.setrecursionlimit(20_000)
+        sys.setrecursionlimit(RECURSION)
         whole = None
         for x in sorted(t.column("tree").to_pylist()):
-            whole = json.loads(x) if whole is None else merge(whole, json.loads(x))
-        return pa.table({"host": t.column("host")[:1], "tree": pa.array([json.dumps(decide(whole) if last else whole, ensure_ascii=False)], pa.string())})
+            whole = loads(x) if whole is None else merge(whole, loads(x))
+        return pa.table({"host": t.column("host")[:1], "tree": pa.array([dumps(decide(whole) if last else whole)], pa.string())})
 
     return run
 
@@ -330,7 +398,7 @@ def extract(pages: DataFrame) -> DataFrame:
     wrappers = cut(induce(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(20_000)
+        sys.setrecursionlimit(RECURSION)
         kept: dict[str, dict] = {}
         for b in batches:
             texts = []
@@ -338,7 +406,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 if tree is not None and tree not in kept:
                     if len(kept) > 500:
                         kept.clear()
-                    kept[tree] = json.loads(tree)
+                    kept[tree] = loads(tree)
                 texts.append(main_text(page, kept.get(tree)) if page else "")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

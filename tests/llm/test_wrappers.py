@@ -1,3 +1,4 @@
+from factloom.llm import wrappers
 from factloom.llm.wrappers import extract, main_text
 
 
@@ -17,8 +18,6 @@ def test_constants_go_and_slots_stay(spark):
 
 
 def test_many_wrappers_meet_pages_by_salt(spark, monkeypatch):
-    from factloom.llm import wrappers
-
     rows = [(i, f"http://h{i % 3}.example/{i}", page(i, f"<p>Text {i}</p>")) for i in range(30)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     want = sorted(map(tuple, extract(df).collect()))
@@ -32,3 +31,72 @@ def test_empty_table(spark):
 
 def test_entities_and_raw_elements():
     assert main_text("<article>a&lt;b <script>if (a<b) {}</script><textarea>x</textarea>c&nbsp;d</article>", None) == "a<b c d"
+
+
+def test_no_caps_on_children_depth_or_pages(spark):
+    """Constants beside hundreds of other kinds of children, an article below hundreds of open elements, and noise as deep."""
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    deep, shut = "<div>" * 400, "</div>" * 400
+    rows = []
+    for i in range(12):
+        kinds = "".join(f'<section class="k{letters(100 * i + j)}">only here {i} {j}</section>' for j in range(90))
+        rows.append((i, f"http://many.example/{i}", f'<body>{kinds}<div class="bar">Same on all pages</div><p>Text {i}</p></body>'))
+        rows.append((100 + i, f"http://deep.example/{i}", f"<body>{deep}<article><p>Start {i}</p>{deep}<nav>menu {i}</nav><p>End {i}</p>{shut}<p>Last {i}</p></article>{shut}<p>outside</p></body>"))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert "Same on all pages" not in got[i] and f"only here {i} 89" in got[i] and got[i].endswith(f"Text {i}")
+        assert got[100 + i] == f"Start {i} End {i} Last {i}"
+
+
+def test_order_of_pages_does_not_matter():
+    import random
+
+    rng = random.Random(4)
+    trees = [wrappers.collapse([wrappers.parse(page(i, "".join(rng.choice([f"<p>x{i}</p>", "<h2>same</h2>", "<ul><li>a</li></ul>", f"<div class='q{rng.choice('abc')}'>y</div>"]) for _ in range(6))))], "#", "#") for i in range(20)]
+    results = set()
+    for _ in range(4):
+        rng.shuffle(trees)
+        whole = None
+        for x in trees:
+            t = wrappers.as_template(x, x["hash"])
+            whole = wrappers.merge(whole, t) if whole else t
+        w = wrappers.decide(whole)
+        assert wrappers.loads(wrappers.dumps(w)) == w
+        results.add(tuple(sorted((path, d) for path, d in paths(w))))
+    assert len(results) == 1
+
+
+def paths(w, above=()):
+    out = [((*above, w["kind"]), w["d"])]
+    for c in w["kids"].values():
+        out += paths(c, (*above, w["kind"]))
+    return out
+
+
+def plain_matching(x, y):
+    """The most nodes that two lists of children share in order, by trying all choices."""
+    a, b = (sorted(t["kids"].values(), key=lambda c: c["i"]) for t in (x, y))
+
+    def best(i, j):
+        if i == len(a) or j == len(b):
+            return 0
+        most = max(best(i + 1, j), best(i, j + 1))
+        if a[i]["kind"] == b[j]["kind"]:
+            most = max(most, 1 + plain_matching(a[i], b[j]) + best(i + 1, j + 1))
+        return most
+
+    return best(0, 0)
+
+
+def test_matching_against_brute_force():
+    import random
+
+    rng = random.Random(8)
+
+    def tree(depth):
+        kinds = rng.sample("abcdef", rng.randrange(5)) if depth else []
+        return {"kids": {k: tree(depth - 1) | {"kind": k, "i": i} for i, k in enumerate(kinds)}}
+
+    for _ in range(150):
+        x, y = tree(3), tree(3)
+        assert wrappers.match(x, y, {})[0] == plain_matching(x, y)
