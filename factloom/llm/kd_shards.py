@@ -1,40 +1,50 @@
 """Shards by a k-d tree over document metadata, from DataFrame functions only.
 
-A point is a distinct text with all its copies: its weight is their bytes, so copies are never parted. Its dimensions are its first copy's language, source and id and its length, each taken as a 62-bit integer that keeps order.
-A node is split along the dimension in which it is widest, relative to the whole table, at the weighted median. The median is found by counting bytes in equal ranges of the dimension's values, and again within the range that holds it, until that range is one value; ties on a value are ordered by the text's hash in the same way. What reaches the driver is a number of ranges for each node.
-Splitting ends at leaves of at most the target bytes, or at the depth given.
+A point is a distinct text with all its copies: its weight is their bytes, so copies are never parted. Its dimensions are its first copy's language, source and id and its length, each taken as a 62-bit integer that keeps order; of strings these are the bytes after what all values begin with.
+A point heavier than a leaf may be is a leaf of its own. The others form the root, which is owed as many leaves as its bytes fill; a node that is owed more than one is split along the dimension in which it is widest, relative to the whole table, at the weighted quantile that parts its leaves into two halves (the median, where their number is even). Splitting ends where a node is owed one leaf, which is when it has reached the target bytes.
+The quantile is found by adding up bytes in equal ranges of the dimension's values, and again within the range that holds it, until that range is one value; ties on a value are ordered by the text's hash in the same way. What reaches the driver is a number of ranges for each node, and cuts are rules in the plan, so leaves should be some thousands at most.
 
-Edge cases: a null text weighs 1 byte; null metadata sorts first; a table without rows has no shards; one group of copies heavier than a shard fills one alone; repeated rows get different slots; extra columns are ignored.
+Edge cases: a null text weighs 1 byte; null metadata sorts first; a table without rows has no shards; with fewer points than leaves some shards are empty; repeated rows get different slots; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import cut
 
-#: Ranges that a value span is counted in at a time, as a power of two.
+#: Ranges that a span of values is counted in at a time, as a power of two.
 RANGE_BITS = 10
 SPAN_BITS = 62
-#: Rows that a chunk of a shard holds on average while slots are dealt.
+#: Rows that a chunk of a shard holds on average while slots are dealt, and copies of a row that are dealt together at most.
 CHUNK_ROWS = 20_000
+DIMS = ("d0", "d1", "d2", "d3")
 
 
-def _rank_of_text(c: Column) -> Column:
-    """The first seven bytes of a string as an integer that keeps byte order."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def _prefixes(docs: DataFrame, names: list[str]) -> list[int]:
+    """How many bytes all values of these columns begin with that are the same."""
+    filled = {c: F.when(F.col(c) != "", F.col(c)) for c in names}
+    r = docs.agg(*(f(F.encode(x, "UTF-8")).alias(f"{a}_{c}") for c, x in filled.items() for a, f in (("lo", F.min), ("hi", F.max)))).first()
+    return [len(os.path.commonprefix([bytes(r[f"lo_{c}"] or b""), bytes(r[f"hi_{c}"] or b"")])) for c in names]
+
+
+def _rank_of_text(c: Column, skip: int) -> Column:
+    """The seven bytes of a string after those skipped, as an integer that keeps byte order."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), skip + 1, 7)), 14, "0"), 16, 10).cast("long")
 
 
 def points(docs: DataFrame) -> DataFrame:
     """One row per distinct text: key (hash), weight, n, and the dimensions d0, d1, ..."""
+    source, lang = _prefixes(docs, ["source", "lang"])
     d = docs.select("doc_id", "lang", "source", _size(F.col("text")).alias("size"), *_key())
     first = F.min(F.struct("doc_id", "lang", "source")).alias("f")
     g = d.groupBy("k1", "k2").agg(F.sum("size").alias("weight"), F.count("*").alias("n"), F.max("size").alias("length"), first)
-    dims = [_rank_of_text(F.col("f.source")), _rank_of_text(F.col("f.lang")), F.col("length"), F.coalesce(F.greatest(F.col("f.doc_id"), F.lit(0)), F.lit(0)).cast("long")]
-    return g.select("k1", "k2", "weight", "n", *(x.alias(f"d{i}") for i, x in enumerate(dims)), F.col("k1").bitwiseAND((1 << SPAN_BITS) - 1).alias("tie"))
+    dims = [_rank_of_text(F.col("f.source"), source), _rank_of_text(F.col("f.lang"), lang), F.col("length"), F.coalesce(F.greatest(F.col("f.doc_id"), F.lit(0)), F.lit(0)).cast("long")]
+    return g.select("k1", "k2", "weight", "n", *(x.alias(c) for c, x in zip(DIMS, dims, strict=True)), F.col("k1").bitwiseAND((1 << SPAN_BITS) - 1).alias("tie"))
 
 
 def _size(text: Column) -> Column:
@@ -49,7 +59,7 @@ def _key() -> tuple[Column, Column]:
 
 
 def _median(pts: DataFrame, nodes: dict[int, dict]) -> None:
-    """Sets the weighted median of each node as two bounds: rows below (value, tie) in order go left. nodes: number → {"dim", "half"}."""
+    """Sets the weighted quantile of each node that its goal asks for as two bounds: rows below (value, tie) in order go left. nodes: number → {"dim", "goal"}."""
     state = {k: {"lo": [0, 0], "bits": SPAN_BITS, "at": 0, "below": 0} for k in nodes}
     #: at 0 the dimension's value is searched for, at 1 the tie among rows with that value.
     while state:
@@ -69,7 +79,7 @@ def _median(pts: DataFrame, nodes: dict[int, dict]) -> None:
             s = state[k]
             shift = max(0, s["bits"] - RANGE_BITS)
             for part in sorted(found.get(k, {})):
-                if s["below"] + found[k][part] > nodes[k]["half"] or part == max(found[k]):
+                if s["below"] + found[k][part] > nodes[k]["goal"] or part == max(found[k]):
                     break
                 s["below"] += found[k][part]
             s["lo"][s["at"]] += part << shift
@@ -79,62 +89,94 @@ def _median(pts: DataFrame, nodes: dict[int, dict]) -> None:
             elif shift == 0:
                 # The median's own row goes to the side that leaves less over.
                 weight = found[k][part]
-                right = nodes[k]["half"] - s["below"] < s["below"] + weight - nodes[k]["half"]
+                right = nodes[k]["goal"] - s["below"] < s["below"] + weight - nodes[k]["goal"]
                 nodes[k]["cut"] = (s["lo"][0], s["lo"][1] + (0 if right else 1))
                 del state[k]
 
 
 def split(pts: DataFrame, target_bytes: int | None = None, leaves: int | None = None) -> tuple[DataFrame, int]:
-    """Adds column shard to the points. Nodes are split until their weight is at most target_bytes, or, with leaves (a power of two), into that many."""
-    dims = [c for c in pts.columns if c[0] == "d" and c[1:].isdigit()]
-    pts = pts.withColumn("node", F.lit(1))
-    depth = round(math.log2(leaves)) if leaves else 40
-    spans = None
-    for level in range(depth):
-        stats = {r["node"]: r for r in pts.filter(F.col("node") >= (1 << level)).groupBy("node").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), *(f(c).alias(f"{a}_{c}") for c in dims for a, f in (("lo", F.min), ("hi", F.max)))).collect()}
-        spans = spans or {c: max((r[f"hi_{c}"] - r[f"lo_{c}"] for r in stats.values()), default=0) for c in dims}
-        wide = {k: r for k, r in stats.items() if r["n"] > 1 and (leaves or r["w"] > target_bytes)}
-        if not wide:
-            break
+    """Adds column shard to the points, and tells how many shards there are: as many as leaves, or as target_bytes asks for."""
+    ends = [f(c).alias(f"{a}_{c}") for c in DIMS for a, f in (("lo", F.min), ("hi", F.max))]
+    r = pts.agg(F.sum("weight").alias("w"), *ends).first()
+    total = r["w"] or 0
+    if not total:
+        return pts.withColumn("shard", F.lit(0)), 0
+    spans = {c: r[f"hi_{c}"] - r[f"lo_{c}"] for c in DIMS}
+
+    def heavier(limit: float) -> tuple[int, int]:
+        n, w = pts.filter(F.col("weight") > limit).agg(F.count("*"), F.sum("weight")).first()
+        return n, w or 0
+
+    if leaves is None:
+        limit = float(target_bytes)
+        alone, apart = heavier(limit)
+        shared = math.ceil((total - apart) / target_bytes)
+    else:
+        # What is set apart leaves less for the other leaves, so that more may be heavier than those.
+        alone = apart = 0
+        while True:
+            limit = (total - apart) / (leaves - alone)
+            n, w = heavier(limit)
+            if n == alone:
+                break
+            alone, apart = n, w
+        shared = leaves - alone
+    tree = pts.withColumn("node", F.lit(0))
+    if alone:
+        number = F.row_number().over(Window.orderBy(F.desc("weight"), "k1", "k2")) - 1 + shared
+        heavy = pts.filter(F.col("weight") > limit).withColumn("node", number)
+        tree = cut(tree.filter(F.col("weight") <= limit).unionByName(heavy))
+    #: A node is known by its first leaf's number; owed is its number of leaves.
+    owed = {0: shared}
+    for level in range(math.ceil(math.log2(shared)) if shared > 1 else 0):
+        large = F.col("node").isin([k for k, n in owed.items() if n > 1])
+        stats = {r["node"]: r for r in tree.filter(large).groupBy("node").agg(F.sum("weight").alias("w"), *ends).collect()}
         nodes = {}
-        for k, r in wide.items():
-            widest = max(range(len(dims)), key=lambda i: ((r[f"hi_{dims[i]}"] - r[f"lo_{dims[i]}"]) / max(1, spans[dims[i]]), -i))
-            nodes[k] = {"dim": widest, "half": r["w"] / 2}
-        _median(pts, nodes)
+        for k, r in stats.items():
+            widest = max(range(len(DIMS)), key=lambda i: ((r[f"hi_{DIMS[i]}"] - r[f"lo_{DIMS[i]}"]) / max(1, spans[DIMS[i]]), -i))
+            nodes[k] = {"dim": widest, "goal": r["w"] * (owed[k] // 2) / owed[k]}
+        if not nodes:
+            break
+        _median(tree, nodes)
         moved = None
         for k, x in nodes.items():
-            d = F.col(f"d{x['dim']}")
+            half = owed[k] // 2
+            owed |= {k: half, k + half: owed[k] - half}
+            d = F.col(DIMS[x["dim"]])
             left = (d < x["cut"][0]) | ((d == x["cut"][0]) & (F.col("tie") < x["cut"][1]))
-            to = F.when(left, 2 * k).otherwise(2 * k + 1)
+            to = F.when(left, k).otherwise(k + half)
             moved = F.when(F.col("node") == k, to) if moved is None else moved.when(F.col("node") == k, to)
-        pts = pts.withColumn("node", moved.otherwise(F.col("node")))
+        tree = tree.withColumn("node", moved.otherwise(F.col("node")))
         if level % 4 == 3:
-            pts = cut(pts)
-    # A leaf's number at full depth, so that shards are numbered from left to right.
-    if leaves:
-        shift = F.lit(depth) - F.floor(F.log2(F.col("node").cast("double"))).cast("int")
-        return pts.withColumn("shard", (F.call_function("shiftleft", F.col("node"), shift) - leaves).cast("int")), leaves
-    number = {r[0]: i for i, r in enumerate(pts.select("node").distinct().orderBy("node").collect())}
-    shard = F.create_map(*(F.lit(x) for kv in number.items() for x in kv))[F.col("node")]
-    return pts.withColumn("shard", shard.cast("int")), len(number)
-
-
-def with_slots(rows: DataFrame, order: list) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard. Rows are numbered within chunks of a shard, which start where the chunks before end."""
-    chunks = max(1, rows.count() // CHUNK_ROWS)
-    r = rows.withColumn("_c", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)).cast("int"))
-    numbered = r.withColumn("_i", F.row_number().over(Window.partitionBy("shard", "_c").orderBy(*order)) - 1)
-    starts = r.groupBy("shard", "_c").agg(F.count("*").alias("_n"))
-    starts = starts.select("shard", "_c", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_c")) - F.col("_n")).alias("_start"))
-    return numbered.join(starts, ["shard", "_c"]).withColumn("slot", (F.col("_i") + F.col("_start")).cast("long")).drop("_c", "_i", "_start")
+            tree = cut(tree)
+    return tree.withColumn("shard", F.col("node").cast("int")).drop("node"), shared + alone
+
 
+def with_slots(rows: DataFrame) -> DataFrame:
+    """Adds slot, gapless from 0 in each shard. rows: doc_id, size, text_crc32, shard.
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """One row per document: its shard under the law `bytes`, and its slot there."""
+    Equal rows are counted, their counts dealt in pieces, and the pieces placed within chunks of a shard, which start where the chunks before end; then each piece becomes rows again.
+    """
+    chunks = max(1, rows.count() // CHUNK_ROWS)
+    same = rows.groupBy("shard", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n"))
+    pieces = same.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_ROWS).cast("long"))))
+    pieces = pieces.withColumn("n", F.least(F.lit(CHUNK_ROWS).cast("long"), F.col("n") - F.col("piece") * CHUNK_ROWS))
+    pieces = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32", "piece"), F.lit(chunks)).cast("int"))
+    order = Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size", "piece")
+    before = pieces.withColumn("before", F.sum("n").over(order) - F.col("n"))
+    starts = pieces.groupBy("shard", "chunk").agg(F.sum("n").alias("held"))
+    starts = starts.select("shard", "chunk", (F.sum("held").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("held")).alias("start"))
+    at = F.col("start") + F.col("before")
+    slot = F.explode(F.sequence(at, at + F.col("n") - 1)).alias("slot")
+    return before.join(starts, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", "shard", slot)
+
+
+def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None) -> DataFrame:
+    """One row per document: its shard under the law `bytes`, and its slot there. With target_bytes, shards are as many as that asks for."""
     pts = cut(points(docs))
-    split_pts, _ = split(pts, leaves=shards)
+    split_pts, _ = split(pts, target_bytes, None if target_bytes else shards)
     d = docs.select("doc_id", _size(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), *_key())
     # Only texts with copies can be hot keys; each of the others is its row's own, so the join is even but for those, which the optimizer splits.
     placed = cut(d.join(split_pts.select("k1", "k2", "shard"), ["k1", "k2"]).drop("k1", "k2"))
-    out = with_slots(placed, ["doc_id", "text_crc32", "size"])
+    out = with_slots(placed)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from factloom.llm import licences
 from factloom.llm.bpe_sql import FIRST_PLACE, LONG_RECURSION, Coder, encode_documents
 from factloom.llm.common import table
-from factloom.llm.kd_shards import shard_documents
+from factloom.llm.kd_shards import cut, points, shard_documents, split
 from factloom.llm.language import UNKNOWN, fit, identify
 from factloom.llm.licences import SuffixAutomaton, digest, scan_documents, words_of
 from factloom.llm.order_minhash import fingerprints
@@ -160,6 +160,68 @@ def test_shards(spark):
     assert shard_documents(docs(spark, EMPTY)).count() == 0
 
 
+def by_shard(rows):
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    return sizes
+
+
+def test_a_heavy_group_takes_a_shard_and_leaves_the_others_even(spark):
+    rows = [(i, f"text number {i} " * (1 + i % 7), "en", f"https://one.example/{i % 5}") for i in range(700)]
+    third = sum(len(t.encode()) + 1 for _, t, *_ in rows) // 2
+    rows += [(5, "copied " * 9, "en", "https://one.example/0")] * (third // 64)
+    sizes = by_shard(shard_documents(docs(spark, rows), 8).collect())
+    heavy = max(sizes, key=sizes.get)
+    others = [n for k, n in sizes.items() if k != heavy]
+    assert len(others) == 7 and sizes[heavy] == third // 64 * 64 and max(others) <= 1.1 * min(others)
+
+
+def test_shards_of_target_bytes(spark):
+    rows = [(i, f"{i} " + "abcdefghij " * (1 + i % 13), "en", f"https://{'abc'[i % 3]}.example") for i in range(600)]
+    total = sum(len(t) + 1 for _, t, *_ in rows)
+    target = 5_000
+    sizes = by_shard(shard_documents(docs(spark, rows), target_bytes=target).collect())
+    assert sum(sizes.values()) == total and set(sizes) == set(range(len(sizes))) and -(-total // target) == len(sizes)
+    assert max(sizes.values()) <= 1.2 * target
+    few = by_shard(shard_documents(docs(spark, [*rows[:5], (9, "z" * 20_000)]), target_bytes=10_000).collect())
+    assert sorted(few.values()) == [sum(len(t) + 1 for _, t, *_ in rows[:5]), 20_001]
+
+
+def plain_split(pts, owed, spans, first=0):
+    """A plain k-d tree: points in order of their widest dimension, cut where the bytes up to there come nearest to the goal."""
+    if owed == 1 or not pts:
+        return {p["k"]: first for p in pts}
+    dim = max(range(4), key=lambda i: ((max(p["d"][i] for p in pts) - min(p["d"][i] for p in pts)) / max(1, spans[i]), -i))
+    pts = sorted(pts, key=lambda p: (p["d"][dim], p["tie"]))
+    half = owed // 2
+    goal, below = sum(p["w"] for p in pts) * half / owed, 0
+    for k, p in enumerate(pts):
+        if below + p["w"] > goal:
+            break
+        below += p["w"]
+    k += 0 if goal - below < below + p["w"] - goal else 1
+    return plain_split(pts[:k], half, spans, first) | plain_split(pts[k:], owed - half, spans, first + half)
+
+
+@pytest.mark.parametrize("leaves", [3, 8, 13])
+def test_split_against_a_plain_tree(spark, leaves):
+    rng = random.Random(leaves)
+    rows = [(i, "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 60))), rng.choice(["en", "de", None, ""]), rng.choice(["https://b", "https://a", "https://abcdefghijk", None])) for i in range(500)]
+    pts = cut(points(docs(spark, rows)))
+    plain = [{"k": (r.k1, r.k2), "w": r.weight, "d": [r.d0, r.d1, r.d2, r.d3], "tie": r.tie} for r in pts.collect()]
+    spans = [max(p["d"][i] for p in plain) - min(p["d"][i] for p in plain) for i in range(4)]
+    alone = []
+    while (heavy := max(plain, key=lambda p: p["w"]))["w"] * (leaves - len(alone)) > sum(p["w"] for p in plain):
+        plain.remove(heavy)
+        alone.append(heavy)
+    want = plain_split(plain, leaves - len(alone), spans) | {p["k"]: leaves - len(alone) + i for i, p in enumerate(alone)}
+    got, n = split(pts, leaves=leaves)
+    assert n == leaves and {(r.k1, r.k2): r.shard for r in got.collect()} == want
+
+
 def test_licence_phrases_and_templates(spark):
     texts = ["Licensed under CC BY-NC 4.0.", "all rights reserved all rights reserved", "x Released under the MIT License. y", "This work is licensed under the GNU General Public License, version 3.", "the general public was under a license", "Licensed under the Apache License, Version 2.0 (the License); you may not, it says, use this file except in compliance with the License. You may obtain a copy", "cc cc by by", None, ""]
     got = {r.doc_id: r for r in digest(scan_documents(docs(spark, list(enumerate(texts))))).collect()}
