@@ -82,18 +82,18 @@ QUERIES = {f.__name__: f for f in (op1_language, op2_licences, op3_kd_shards, op
 
 def _vector_sql(rounds: int = 2) -> str:
     """Codebooks of each round as common table expressions, one after the other."""
-    distance = "list_sum(list_transform(list_zip(x, c), z -> (z[1] - z[2]) * (z[1] - z[2])))"
+    distance = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
     steps = []
     for i in range(rounds + 1):
         steps.append(f"near{i} AS (SELECT r, p, any_value(x) AS x, min(({distance}, e)) AS best FROM part JOIN book{i} USING (p) GROUP BY r, p)")
         if i < rounds:
-            means = f"SELECT p, best[2] AS e, at, floor(sum(x[at])::double / count(*))::bigint AS m FROM near{i}, (SELECT unnest(range(1, 1 + (SELECT any_value(w) FROM part))) AS at) GROUP BY ALL"
-            steps.append(f"mean{i} AS (SELECT p, e, list(m ORDER BY at) AS c FROM ({means}) GROUP BY ALL)")
+            means = f"SELECT p, best[2] AS e, pos, floor(sum(x[pos])::double / count(*))::bigint AS m FROM near{i}, (SELECT unnest(range(1, 1 + (SELECT any_value(w) FROM part))) AS pos) GROUP BY ALL"
+            steps.append(f"mean{i} AS (SELECT p, e, list(m ORDER BY pos) AS c FROM ({means}) GROUP BY ALL)")
             steps.append(f"book{i + 1} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN mean{i} m USING (p, e))")
     return f"""
 WITH kept AS (
-  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, x -> floor(256 * x::double)::bigint) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 part AS (SELECT r, vec_id, label, p, len(v) // 16 AS w, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) AS x FROM kept, (SELECT unnest(range(16)) AS p)),
 book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM part QUALIFY e < 64),
 {", ".join(steps)},
