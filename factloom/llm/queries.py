@@ -71,13 +71,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.substring_dedup import digest, without_repeats
+
+    return digest(without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.vector_codes import compress
 
     return compress(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_licences, op3_kd_shards, op4_byte_bpe, op5_order_minhash, op6_packing, op7_main_text, op8_ngram_join, op9_quality_rules, op10_toxicity, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_licences, op3_kd_shards, op4_byte_bpe, op5_order_minhash, op6_packing, op7_main_text, op8_ngram_join, op9_quality_rules, op10_toxicity, op11_substring_dedup, op13_vector_codes)}
 
 
 def _vector_sql(rounds: int = 2) -> str:
@@ -102,4 +108,14 @@ digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e))
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::bigint AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), digest"""
 
 
-ORACLES: dict[str, str] = {"op13_vector_codes": _vector_sql()}
+_REPEATS_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS k FROM docs, unnest(range(1, len(w) - 33)) AS t(i)),
+repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY k) > 1),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM repeated),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM docs),
+left_over AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN covered USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN left_over USING (r)"""
+
+ORACLES: dict[str, str] = {"op11_substring_dedup": _REPEATS_SQL, "op13_vector_codes": _vector_sql()}
