@@ -31,7 +31,8 @@ MAX_BITS = 29
 CHUNK, HELD, KNOWN = 300_000, 2_000_000, 1_000_000
 #: Windows wrongly estimated, up to which their places are broadcast.
 BROADCAST_ROWS = 200_000
-SALTS = 16
+#: A text is among the commonest if at least one row in so many has it; there are at most so many of them.
+COMMON = 1000
 _ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -295,9 +296,11 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits:
     if single.count() <= BROADCAST_ROWS:
         met = keyed.join(F.broadcast(of_text), "key", "left")
     else:
-        # A text with copies has no window of one place: its rows are dealt over some salts, for nothing needs them together.
-        salted = of_text.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        met = keyed.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, ["key", "salt"], "left")
+        # A text with copies has no window of one place. Rows of the commonest texts, which are few, are dealt by a number of their own and meet nothing.
+        counts = keyed.groupBy("key").count()
+        common = counts.filter(F.col("count") * COMMON >= docs.count()).filter("count > 1").select("key", F.lit(True).alias("common"))
+        spread = keyed.join(F.broadcast(common), "key", "left").withColumn("key", F.when(F.col("common"), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("key")))
+        met = spread.join(of_text, "key", "left")
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
     return met.select("text", "single", "doc_id").mapInArrow(_kept(shared, width, gram), schema)
 

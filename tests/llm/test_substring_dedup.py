@@ -65,7 +65,7 @@ def test_sketches_of_any_size_lose_nothing(spark, bits):
     assert got(without_repeats(docs(spark, rows).repartition(5), bits=bits)) == plain(rows)
 
 
-def test_places_joined_with_salt(spark, monkeypatch):
+def test_places_joined(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", -1)
     rows = passages(2) + [(i, "copy " * 50) for i in range(200, 230)]
     assert got(without_repeats(docs(spark, rows), bits=6)) == plain(rows)
