@@ -46,10 +46,12 @@ def finished_pages(pages: DataFrame, low: int = LOW_TEXT) -> DataFrame:
 
 
 def documents_of(pages: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
-    """Rows of the documents table from finished pages; page_counts: document_id, page_count where pages were pruned."""
+    """Rows of the documents table from finished pages. A document's page count is what page_counts (document_id, page_count) says; else what its pages bring along as page_count, which readers of files fill, wanted or not; else the number of its pages."""
     told = F.transform(F.array_sort(F.collect_list(F.when(F.size("warnings") > 0, F.struct("page_number", "warnings")))), lambda x: x["warnings"])
-    docs = pages.groupBy(F.col("document_id").alias("id")).agg(F.min("source_filename").alias("filename"), F.count("*").cast("int").alias("processed_pages"), F.flatten(told).alias("warnings"))
-    counts = docs.select("id", F.col("processed_pages").alias("page_count")) if page_counts is None else page_counts.select(F.col("document_id").alias("id"), F.col("page_count").cast("int").alias("page_count"))
+    own = F.max("page_count") if "page_count" in pages.columns else F.lit(None)
+    many = F.count("*").cast("int")
+    docs = pages.groupBy(F.col("document_id").alias("id")).agg(F.min("source_filename").alias("filename"), many.alias("processed_pages"), F.coalesce(own.cast("int"), many).alias("_own"), F.flatten(told).alias("warnings"))
+    counts = docs.select("id", F.col("_own").alias("page_count")) if page_counts is None else page_counts.select(F.col("document_id").alias("id"), F.col("page_count").cast("int").alias("page_count"))
     zero = F.lit(0).cast("int")
     return docs.join(counts, "id", "left").select("id", "filename", "page_count", "processed_pages", zero.alias("extracted_facts_count"), zero.alias("grounded_facts_count"), F.lit("extracted").alias("status"), "warnings", F.current_timestamp().alias("created_at"))
 
