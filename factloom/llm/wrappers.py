@@ -3,12 +3,15 @@
 Pages are parsed into element trees in which neighbouring elements of one kind (tag, class and id words) are one node. The trees of a host's pages are aligned by simple tree matching: two nodes match if they are of one kind, and their children are matched in order with the largest total. Aligned trees are merged into the host's template tree, first within each partition, then in groups of partitions, then for the host; each node keeps the few smallest hashes of the texts it has had, so a template is the same in whatever order pages come.
 A node that has had one text in at least MIN_PAGES different pages is constant: it is template. Varying nodes are slots. Slots are content unless their kind says otherwise (navigation, headers and footers of pages, asides, forms, adverts, notices, comments) or they consist of links. If a page has an article or main element with text, only slots inside it are content.
 
+Kinds go by whole names of classes, ids and roles. A part of a compound name (site-nav) counts outside articles, inside them only for adverts, comments and the like; has-, no- and with- deny what follows. No name drops an element around the article or main element with most text, or, on a page without one, an element with most of the text.
+
 Every page is then aligned with its host's tree, and the blocks of its content slots are joined. Inline elements do not part words; block elements and line breaks do.
 Edge cases: null or empty html gives an empty text; a missing url is a host of its own; unclosed elements, comments and scripts end where a browser ends them; a host with few pages is judged by kinds alone; equal pages count as one page where constants are told; a template grows with the different element paths of its host; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import json
 import re
@@ -42,25 +45,28 @@ SCOPE = frozenset("ul ol dl table article section div body html nav aside main h
 NEVER = frozenset("nav footer aside form button select input script style noscript template iframe head title menu dialog textarea svg canvas object label".split())
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay subscribe subscription newsletter signup share sharing social related recommended sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer pagination pager comment comments commentlist respond disqus reply replies widget login search toolbar masthead skip tracking contentinfo complementary".split())
 HOLDS = frozenset("article main".split())
+#: First words of a compound name that deny the rest, what is noise inside an article even as a part of a name, and elements of kinds that pages wrap themselves in.
+DENIED = frozenset("has no not with without".split())
+STRICT = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments commentlist disqus respond reply replies share sharing related recommended cookie newsletter subscribe".split())
+WRAPS = frozenset("form object label".split())
 
 
 class Node:
-    __slots__ = ("kind", "tag", "parts", "children", "decision")
+    __slots__ = ("kind", "tag", "parts", "children", "decision", "names", "keeps")
 
-    def __init__(self, kind: str, tag: str):
-        self.kind, self.tag, self.parts, self.children, self.decision = kind, tag, [], [], ""
+    def __init__(self, kind: str, tag: str, names: tuple[str, ...] = ()):
+        self.kind, self.tag, self.parts, self.children, self.decision, self.names, self.keeps = kind, tag, [], [], "", names, False
 
 
-def kind_of(tag: str, attributes: str) -> str:
+def kind_of(tag: str, attributes: str) -> tuple[str, tuple[str, ...]]:
+    """A node's kind (tag and the words of its names) and its names as they are."""
     if not attributes.strip():
-        return tag
-    words: set[str] = set()
+        return tag, ()
+    names: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes):
-        if m[1].lower() == "hidden":
-            words.add("hidden")
-        else:
-            words.update(WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
-    return ".".join([tag, *sorted(words)])
+        names.update(["hidden"] if m[1].lower() == "hidden" else (m[2] or m[3] or m[4] or "").lower().split())
+    words = {w for n in names for w in WORDS.findall(n)}
+    return ".".join([tag, *sorted(words)]), tuple(sorted(names))
 
 
 def parse(page: str) -> Node:
@@ -74,12 +80,14 @@ def parse(page: str) -> Node:
             depth[x.tag] -= 1
         del stack[i:]
 
+    last = page.rfind(">")
     while at < n:
-        m = TOKEN.search(page, at)
+        # Behind the last ">" no tag ends: there is only text, up to an open comment. Before it every tag does, so none is scanned twice.
+        m = TOKEN.search(page, at) if at <= last else re.compile("<!--").search(page, at)
         end = m.start() if m else n
         if end > at:
             stack[-1].parts.append(page[at:end])
-        if not m:
+        if not m or at > last:
             break
         at = m.end()
         tag = (m[2] or "").lower()
@@ -105,7 +113,8 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in SCOPE:
                     break
-        node = Node(kind_of(tag, m[3]), tag)
+        kind, names = kind_of(tag, m[3])
+        node = Node(kind, tag, names)
         stack[-1].parts.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -278,13 +287,52 @@ def apply(x: dict, wrapper: dict, memo: dict) -> None:
                 todo.append((x["kids"][k], w["kids"][k]))
 
 
+@functools.lru_cache(100_000)
+def _named(name: str) -> int:
+    """Whether a class, id or role is noise: 2 as a whole, 1 by a part of it that is noise anywhere, -1 by a part that is noise outside articles only, 0 not at all."""
+    if name in NOISE:
+        return 2
+    words = WORDS.findall(name)
+    if not words or words[0] in DENIED:
+        return 0
+    return 1 if any(w in STRICT for w in words) else -1 if any(w in NOISE for w in words) else 0
+
+
 def _noise(node: Node, inside: bool) -> bool:
-    if node.tag in NEVER or (node.tag == "header" and not inside) or node.decision:
+    if node.decision or "hidden" in node.names:
         return True
-    words = node.kind.split(".")[1:]
-    if "hidden" in words:
-        return True
-    return node.tag not in ("html", "body", "article", "main", "p") and any(w in NOISE for w in words)
+    if node.tag in NEVER or (node.tag == "header" and not inside):
+        return not (node.keeps and node.tag in WRAPS)
+    if node.keeps or node.tag in ("html", "body", "article", "main", "p"):
+        return False
+    return any(says == 2 or says == 1 or (says == -1 and not inside) for says in map(_named, node.names))
+
+
+def mark_kept(root: Node) -> None:
+    """Marks what no kind may drop: the elements around the article or main element with most text outside links; on a page without one, those that hold more than half of that text and are not noise by a whole name."""
+    order: list[tuple[Node, Node | None, bool]] = []
+    todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    while todo:
+        node, parent, off = todo.pop()
+        order.append((node, parent, off))
+        off = off or (node.tag in NEVER and node.tag not in WRAPS) or node.tag == "a"
+        todo += [(p, node, off) for p in node.parts if isinstance(p, Node)]
+    text: Counter[int] = Counter()
+    for node, parent, off in reversed(order):
+        if not off and node.tag != "a" and (node.tag not in NEVER or node.tag in WRAPS):
+            text[id(node)] += sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        if parent is not None:
+            text[id(parent)] += text[id(node)]
+    above = {id(node): parent for node, parent, _ in order}
+    holders = [node for node, _, off in order if not off and node.tag in HOLDS and text[id(node)] and not any(_named(n) > 0 for n in node.names)]
+    if holders:
+        node: Node | None = max(holders, key=lambda x: text[id(x)])
+        while node is not None:
+            node.keeps = True
+            node = above[id(node)]
+        return
+    for node, _, _ in order:
+        node.keeps = 2 * text[id(node)] > text[id(root)] and not any(_named(n) == 2 for n in node.names)
 
 
 def _has_text(node: Node, inside: bool) -> bool:
@@ -335,6 +383,7 @@ def main_text(page: str, wrapper: dict | None) -> str:
     root = parse(page)
     if wrapper:
         apply(collapse([root], "#", "#"), wrapper, {})
+    mark_kept(root)
     held = _holders(root)
     out: list[list[str]] = [[]]
     for x in held or [root]:

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from factloom.llm import wrappers
 from factloom.llm.wrappers import extract, main_text
 
@@ -100,3 +104,34 @@ def test_matching_against_brute_force():
     for _ in range(150):
         x, y = tree(3), tree(3)
         assert wrappers.match(x, y, {})[0] == plain_matching(x, y)
+
+
+WRAPPED = [
+    ('<div class="content has-sidebar"><article><p>The story.</p></article></div>', "The story."),
+    ('<div id="page" class="no-comments"><p>The story.</p></div>', "The story."),
+    ('<div id="page" class="no-comments"><article><p>The story.</p></article></div>', "The story."),
+    ('<article><p>One.</p><div class="notice-board">Two.</div></article>', "One. Two."),
+    ('<div class="widget sidebar"><main>The story is here.</main></div>', "The story is here."),
+    ('<form id="aspnetForm"><div class="search"><article>All of it.</article></div></form>', "All of it."),
+    ('<div class="layout-with-sidebar"><div class="promo-page"><p>Most of the text of this page stands here.</p></div><div class="site-nav">Some links</div></div>', "Most of the text of this page stands here."),
+    ('<article>Short.</article><div class="comments"><p>A comment that is far longer than the article is.</p></div>', "Short."),
+    ('<article>Story.<div class="comment-list">I disagree.</div><div class="ad-slot">Buy!</div></article>', "Story."),
+    ('<article>Story, a long one.</article><aside><article>Another story.</article></aside>', "Story, a long one."),
+    ('<article>Story, a long one.</article><div id="comments"><article class="comment">No.</article></div>', "Story, a long one."),
+    ('<div class="post">Text of the post.</div><div class="comments">Words of readers, many more than the post has, on and on.</div>', "Text of the post."),
+    ('<div class="site-nav">Home</div><div class="cookie-banner">We ask.</div><div class="post">Text of the post.</div>', "Text of the post."),
+    ("<div hidden>Off.</div><div class='hidden'>Off.</div><p>On.</p>", "On."),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize("page,text", WRAPPED)
+def test_no_wrapper_swallows_the_article(page, text):
+    assert main_text(f"<html><body>{page}</body></html>", None) == text
+
+
+def test_unclosed_tags_take_linear_time():
+    began = time.perf_counter()
+    assert main_text("<p>a " + "<b x=' " * 30_000, None).startswith("a")
+    assert main_text("<p>a " + "<b x=' " * 30_000 + ">z<!-- open", None) == "a z"
+    assert time.perf_counter() - began < 20
