@@ -17,7 +17,7 @@ from factloom.operators.facts import facts_from_answers, ungrounded_events
 from factloom.operators.pairing import candidate_pairs
 from factloom.operators.salience import salient_pages
 from factloom.operators.store import FactStore, export_json, rebuilt_documents, seed, upsert
-from factloom.plans.pipeline import relate, relationship_rows, shared_dir
+from factloom.plans.pipeline import relate, relate_noted, relationship_rows, save_facts, shared_dir
 from factloom.plans.synthetic import NOTATIONS, answers, line_facts, order_facts, raw_values, text_facts
 from factloom.sources.pages import document_id, documents_of, pages_from_text, select_pages
 
@@ -421,3 +421,33 @@ def seeded_store(spark, sf_dir):
     seed(other, f"{store.base}/export")
     f = other.facts().select("id", F.col("norm_num").alias("num"))
     return f.unionByName(other.relationships().select("id", F.col("fact_b.norm_num").alias("num"))).unionByName(other.documents().select("id", F.col("extracted_facts_count").cast("double").alias("num")))
+
+
+@query
+def relationships_by_batches(spark, sf_dir):
+    """A store filled in two batches, the second one delivered twice: it corrects wrong numbers and brings facts that were not there. After each batch only the keys that it changed are related anew."""
+    store = FactStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    f = order_facts(spark, sf_dir)
+    k = F.substring("id", 3, 20).cast("long")
+    wrong = f.filter(k % 5 == 0).withColumn("norm_num", F.when(F.col("source_document_id") == "doc-A", F.col("norm_num") * 3).otherwise(F.col("norm_num")))
+    last = f.filter((k % 5 == 0) | (k % 7 == 1))
+    for batch in (f.filter((k % 5 != 0) & (k % 7 != 1)).unionByName(wrong), last, last):
+        save_facts(store, batch)
+        relate_noted(store)
+    return store.relationships().select("id", "fact_a_id", "fact_b_id", "relationship_type", "confidence")
+
+
+@query
+def events_ingested_twice(spark, sf_dir):
+    """Events of all answers saved twice: what happens again is no other event."""
+    store = FactStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    for _ in range(2):
+        store.append_events(facts_from_answers(answers(spark, sf_dir))[1])
+    return store.events().select("document_filename", "failure_type", "what_happened")
+
+
+@query
+def grounded_facts_of_texts(spark, sf_dir):
+    """Only the facts whose quotes stand on their pages; the events tell of the others."""
+    facts, _ = facts_from_answers(answers(spark, sf_dir), filter_ungrounded=True)
+    return facts.select("source_document_id", "predicate", "norm_num", "unit", "is_grounded", "confidence")

@@ -160,3 +160,6 @@ ORACLES["store_documents"] = f"WITH {_FACTS}, {_DOCS} SELECT id, filename, extra
 ORACLES["store_events"] = f"WITH {_FACTS} SELECT source_filename AS document_filename, page_number, 'ungrounded_evidence' AS failure_type, 'Fact ''' || predicate || ': ' || raw_value || ''' failed grounding.' AS what_happened FROM facts WHERE NOT is_grounded"
 ORACLES["store_cleared"] = f"WITH {_FACTS} SELECT 'facts' AS name, count(*) AS n FROM facts WHERE NOT is_grounded UNION ALL SELECT unnest(['documents', 'relationships', 'processing_events']), 0"
 ORACLES["seeded_store"] = f"""WITH {_FACTS}, {_DOCS}, {_edges('a.is_grounded')} SELECT id, norm_num AS num FROM facts UNION ALL SELECT id, vb FROM edges UNION ALL SELECT id, extracted_facts_count::double FROM docs"""
+ORACLES["relationships_by_batches"] = f"WITH {_FACTS}, {_edges('a.is_grounded')} SELECT id, a_id AS fact_a_id, b_id AS fact_b_id, relationship_type, confidence FROM edges"
+ORACLES["events_ingested_twice"] = ORACLES["events_of_whole_texts"]
+ORACLES["grounded_facts_of_texts"] = f"""WITH {_ANSWERED} SELECT doc_id::varchar AS source_document_id, 'net_profit' AS predicate, round((doc_id % 500)::double / 10, 4) AS norm_num, 'INR crore' AS unit, true AS is_grounded, 1.0::double AS confidence FROM g WHERE found"""
