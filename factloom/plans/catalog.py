@@ -19,6 +19,7 @@ from factloom.operators.salience import salient_pages
 from factloom.operators.store import FactStore, export_json, rebuilt_documents, seed, upsert
 from factloom.plans.pipeline import relate, relate_noted, relationship_rows, save_facts, shared_dir
 from factloom.plans.synthetic import NOTATIONS, answers, line_facts, order_facts, raw_values, text_facts
+from factloom.sources.files import scan_files, text_pages
 from factloom.sources.pages import document_id, documents_of, pages_from_text, select_pages
 
 QUERIES: dict = {}
@@ -451,3 +452,13 @@ def grounded_facts_of_texts(spark, sf_dir):
     """Only the facts whose quotes stand on their pages; the events tell of the others."""
     facts, _ = facts_from_answers(answers(spark, sf_dir), filter_ungrounded=True)
     return facts.select("source_document_id", "predicate", "norm_num", "unit", "is_grounded", "confidence")
+
+
+@query
+def pages_of_files(spark, sf_dir):
+    """Every document written as a page of some text file, below a line with its id, and the pages of all files read through the data source. What follows a file's last form feed is no document."""
+    at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    page = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.translate(F.coalesce("text", F.lit("")), "\f", " "))
+    _t(spark, sf_dir, "documents").select(page.alias("value")).write.option("lineSep", "\f").text(at)
+    pages = scan_files(spark, at, text_pages, "*.txt").filter("page_number < page_count")
+    return pages.select(F.regexp_extract("text", r"^doc (\d+)", 1).cast("long").alias("doc_id"), "char_count", F.md5("text").alias("text_md5"))

@@ -163,3 +163,5 @@ ORACLES["seeded_store"] = f"""WITH {_FACTS}, {_DOCS}, {_edges('a.is_grounded')}
 ORACLES["relationships_by_batches"] = f"WITH {_FACTS}, {_edges('a.is_grounded')} SELECT id, a_id AS fact_a_id, b_id AS fact_b_id, relationship_type, confidence FROM edges"
 ORACLES["events_ingested_twice"] = ORACLES["events_of_whole_texts"]
 ORACLES["grounded_facts_of_texts"] = f"""WITH {_ANSWERED} SELECT doc_id::varchar AS source_document_id, 'net_profit' AS predicate, round((doc_id % 500)::double / 10, 4) AS norm_num, 'INR crore' AS unit, true AS is_grounded, 1.0::double AS confidence FROM g WHERE found"""
+ORACLES["pages_of_files"] = r"""WITH p AS (SELECT doc_id, regexp_replace('doc ' || doc_id || chr(10) || translate(coalesce(text, ''), chr(12), ' '), '^\s+|\s+$', '', 'g') AS t FROM documents)
+  SELECT doc_id, length(t)::int AS char_count, md5(t) AS text_md5 FROM p"""
