@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ from factloom.operators.store import FactStore, export_json, rebuilt_documents,
 from factloom.plans.pipeline import relate, relate_noted, relationship_rows, save_facts, shared_dir
 from factloom.plans.synthetic import NOTATIONS, answers, line_facts, order_facts, raw_values, text_facts
 from factloom.sources.files import scan_files, text_pages
+from factloom.sources.ledger import Ledger
+from factloom.sources.models import ask_about_pages, judged_pairs
 from factloom.sources.pages import document_id, documents_of, pages_from_text, select_pages
 
 QUERIES: dict = {}
@@ -462,3 +466,50 @@ def pages_of_files(spark, sf_dir):
     _t(spark, sf_dir, "documents").select(page.alias("value")).write.option("lineSep", "\f").text(at)
     pages = scan_files(spark, at, text_pages, "*.txt").filter("page_number < page_count")
     return pages.select(F.regexp_extract("text", r"^doc (\d+)", 1).cast("long").alias("doc_id"), "char_count", F.md5("text").alias("text_md5"))
+
+
+def _page_model():
+    """Stands for a model: one fact a page, its value the page's length, its quote from the page."""
+
+    def model(prompt: str) -> str:
+        page = prompt.split("\nPage:\n", 1)[1]
+        item = {"subject": "The Page Ltd", "predicate": "Net_Profit", "raw_value": f"Rs {len(page)} million", "evidence_quote": page[10:50]}
+        return f"```json\n{json.dumps({'facts': [item]})}\n```"
+
+    return model
+
+
+def _no_model():
+    raise RuntimeError("asked again")
+
+
+@query
+def facts_by_model(spark, sf_dir):
+    """Facts of whole texts by way of a model's answers. All pages are asked about twice with one ledger; the second time there is no model to ask."""
+    ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", "page model")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    pages = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), name.alias("source_filename"), F.lit(1).alias("page_number"), "text")
+    ask_about_pages(pages, _page_model, ledger)
+    facts, _ = facts_from_answers(ask_about_pages(pages, _no_model, ledger))
+    return facts.select("source_document_id", "predicate", "norm_num", "unit", "comparison_key", "is_grounded")
+
+
+def _pair_model():
+    """Stands for a model: its word about a customer goes by the number in its name. Some answers need repair, some name no known type."""
+
+    def model(prompt: str) -> str:
+        n = int(re.search(r"[Cc]ustomer#0*(\d+)", prompt)[1])
+        if n % 5 == 0 and "is not" not in prompt:
+            return f"no JSON about customer#{n}"
+        kinds = ({"relationship_type": "corroborates"}, {"relationship_type": "CONTRADICTS", "confidence": 0.6, "short_explanation": "so it is"}, {"relationship_type": "UNSURE"}, {"relationship_type": "Reconcilable", "confidence": 0.7, "contextual_difference": "scope"})
+        return json.dumps(kinds[n % 4])
+
+    return model
+
+
+@query
+def pairs_judged(spark, sf_dir):
+    """What a model says of all pairs that no rule decides."""
+    ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", "pair model")
+    e = judged_pairs(undecided(candidate_pairs(text_facts(spark, sf_dir))), _pair_model, ledger)
+    return e.select("id", "fact_a_id", "fact_b_id", "relationship_type", "confidence", "short_explanation", "contextual_difference")

@@ -165,3 +165,8 @@ ORACLES["events_ingested_twice"] = ORACLES["events_of_whole_texts"]
 ORACLES["grounded_facts_of_texts"] = f"""WITH {_ANSWERED} SELECT doc_id::varchar AS source_document_id, 'net_profit' AS predicate, round((doc_id % 500)::double / 10, 4) AS norm_num, 'INR crore' AS unit, true AS is_grounded, 1.0::double AS confidence FROM g WHERE found"""
 ORACLES["pages_of_files"] = r"""WITH p AS (SELECT doc_id, regexp_replace('doc ' || doc_id || chr(10) || translate(coalesce(text, ''), chr(12), ' '), '^\s+|\s+$', '', 'g') AS t FROM documents)
   SELECT doc_id, length(t)::int AS char_count, md5(t) AS text_md5 FROM p"""
+ORACLES["facts_by_model"] = r"""SELECT doc_id::varchar AS source_document_id, 'net_profit' AS predicate, round(length(text) / 10, 4)::double AS norm_num, 'INR crore' AS unit, 'page|profitability' AS comparison_key, true AS is_grounded
+  FROM documents WHERE length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) >= 50"""
+ORACLES["pairs_judged"] = """WITH p AS (SELECT c_custkey % 4 AS n, 'A-board_director-' || c_custkey AS a, 'B-board_director-' || c_custkey AS b FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 2)
+  SELECT 'rel_llm_' || substr(sha256(a || '|' || b), 1, 32) AS id, a AS fact_a_id, b AS fact_b_id, CASE n WHEN 0 THEN 'CORROBORATES' WHEN 1 THEN 'CONTRADICTS' ELSE 'RECONCILABLE' END AS relationship_type,
+    CASE n WHEN 0 THEN 0.8 WHEN 1 THEN 0.6 ELSE 0.7 END::double AS confidence, CASE n WHEN 1 THEN 'so it is' ELSE 'Semantic evaluation based on source evidence.' END AS short_explanation, CASE n WHEN 3 THEN 'scope' END AS contextual_difference FROM p"""

@@ -10,9 +10,9 @@ PARSED = [
     ("18,793", 18793.0, "count", "numeric"),
     ("1,429K tonnes", 1.429, "million tonnes", "numeric"),
     ("J89,319Mn", 8931.9, "INR crore", "currency"),
-    ("Plot No. 5, Sector 44, Gurugram 122001", None, None, "text"),
+    ("Pier No. 5, Dock 44, Seaford 122001", None, None, "text"),
     ("12 million customers", 1.2, "INR crore", "currency"),
-    ("Gurugram 122002", 122002.0, "count", "numeric"),
+    ("Seaford 122002", 122002.0, "count", "numeric"),
     ("Rs 5 lakh", 0.05, "INR crore", "currency"),
     ("5 lakh", 5.0, "lakh", "numeric"),
     ("$3 bn", 3000.0, "USD million", "currency"),
