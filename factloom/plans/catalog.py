@@ -15,6 +15,7 @@ from factloom.functions.periods import compare_periods, normalize_period
 from factloom.functions.values import normalize_values, parse_values
 from factloom.operators import views
 from factloom.operators.classify import relationships, undecided
+from factloom.operators.exchange import export_document, seed_document
 from factloom.operators.facts import facts_from_answers, ungrounded_events
 from factloom.operators.pairing import candidate_pairs
 from factloom.operators.salience import salient_pages
@@ -513,3 +514,15 @@ def pairs_judged(spark, sf_dir):
     ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", "pair model")
     e = judged_pairs(undecided(candidate_pairs(text_facts(spark, sf_dir))), _pair_model, ledger)
     return e.select("id", "fact_a_id", "fact_b_id", "relationship_type", "confidence", "short_explanation", "contextual_difference")
+
+
+@query
+def document_exchange(spark, sf_dir):
+    """A store exported as one JSON document, and a second store filled from that."""
+    store = _filled_store(spark, sf_dir)
+    relate(store)
+    export_document(store, f"{store.base}-run.json")
+    other = FactStore(spark, f"{store.base}-seeded")
+    seed_document(other, f"{store.base}-run.json")
+    f = other.facts().select("id", F.col("norm_num").alias("num"))
+    return f.unionByName(other.relationships().select("id", F.col("fact_b.norm_num").alias("num"))).unionByName(other.documents().select("id", F.col("extracted_facts_count").cast("double").alias("num")))

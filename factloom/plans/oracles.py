@@ -170,3 +170,4 @@ ORACLES["facts_by_model"] = r"""SELECT doc_id::varchar AS source_document_id, 'n
 ORACLES["pairs_judged"] = """WITH p AS (SELECT c_custkey % 4 AS n, 'A-board_director-' || c_custkey AS a, 'B-board_director-' || c_custkey AS b FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 2)
   SELECT 'rel_llm_' || substr(sha256(a || '|' || b), 1, 32) AS id, a AS fact_a_id, b AS fact_b_id, CASE n WHEN 0 THEN 'CORROBORATES' WHEN 1 THEN 'CONTRADICTS' ELSE 'RECONCILABLE' END AS relationship_type,
     CASE n WHEN 0 THEN 0.8 WHEN 1 THEN 0.6 ELSE 0.7 END::double AS confidence, CASE n WHEN 1 THEN 'so it is' ELSE 'Semantic evaluation based on source evidence.' END AS short_explanation, CASE n WHEN 3 THEN 'scope' END AS contextual_difference FROM p"""
+ORACLES["document_exchange"] = ORACLES["seeded_store"]
