@@ -90,14 +90,24 @@ def ground_exact(spark, sf_dir):
     return g.select("doc_id", "grounding.is_grounded")
 
 
-@query
-def ground_scores(spark, sf_dir):
+def _mixed_quotes(spark, sf_dir):
     """A passage of every document with foreign words put in; short, empty and missing texts too."""
     d = _t(spark, sf_dir, "documents")
     page = F.coalesce("text", F.lit(""))
     mixed = F.concat(F.substring(page, 1, 60), F.when(F.col("doc_id") % 3 == 0, F.lit(" qqxx ")).otherwise(F.lit(" qqxx wwzz vvkk ")), F.substring(page, 61, 50))
-    g = ground(d.select("doc_id", F.col("text").alias("page_text"), mixed.alias("evidence_quote")))
-    return g.select("doc_id", "grounding.is_grounded", F.col("grounding.score").alias("score"))
+    return ground(d.select("doc_id", F.col("text").alias("page_text"), mixed.alias("evidence_quote")))
+
+
+@query
+def ground_scores(spark, sf_dir):
+    return _mixed_quotes(spark, sf_dir).select("doc_id", "grounding.is_grounded", F.col("grounding.score").alias("score"))
+
+
+@query
+def ground_notes(spark, sf_dir):
+    """What grounding says of passages with foreign words, and of every document's own passages."""
+    own = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("page_text"), F.concat(F.lit(" "), F.substring("text", 11, 60), F.lit("\n")).alias("evidence_quote"))
+    return _mixed_quotes(spark, sf_dir).unionByName(ground(own)).select("doc_id", F.md5("grounding.note").alias("note_md5"), (F.col("grounding.score") == 1).alias("whole"))
 
 
 _PREDICATES = ("Total Revenue", "operating-profit", "pin codes covered", "Team Size", "active customers", "Registered Office", "corporate hq address", "office", "Board Member", "Real GDP growth", "CPI", "annual shipment volume count", "freight", "Something else")
@@ -526,3 +536,13 @@ def document_exchange(spark, sf_dir):
     seed_document(other, f"{store.base}-run.json")
     f = other.facts().select("id", F.col("norm_num").alias("num"))
     return f.unionByName(other.relationships().select("id", F.col("fact_b.norm_num").alias("num"))).unionByName(other.documents().select("id", F.col("extracted_facts_count").cast("double").alias("num")))
+
+
+@query
+def text_values(spark, sf_dir):
+    """Values without a number, their blanks uneven, with and without a unit."""
+    p = _t(spark, sf_dir, "part")
+    raw = F.concat(F.lit("  "), F.replace("p_type", F.lit(" "), F.lit("  ")), F.lit("\n plating"))
+    unit = F.when(F.col("p_size") % 3 == 1, F.lit("")).when(F.col("p_size") % 3 == 2, F.lit("finish"))
+    values = p.select("p_partkey", raw.alias("raw_value"), unit.alias("raw_unit"), F.lit("as shown").alias("evidence_quote"), F.lit(None).cast("string").alias("source_context"))
+    return normalize_values(values).select("p_partkey", "value.num", "value.text", "value.unit", "value.value_type")

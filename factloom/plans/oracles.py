@@ -171,3 +171,7 @@ ORACLES["pairs_judged"] = """WITH p AS (SELECT c_custkey % 4 AS n, 'A-board_dire
   SELECT 'rel_llm_' || substr(sha256(a || '|' || b), 1, 32) AS id, a AS fact_a_id, b AS fact_b_id, CASE n WHEN 0 THEN 'CORROBORATES' WHEN 1 THEN 'CONTRADICTS' ELSE 'RECONCILABLE' END AS relationship_type,
     CASE n WHEN 0 THEN 0.8 WHEN 1 THEN 0.6 ELSE 0.7 END::double AS confidence, CASE n WHEN 1 THEN 'so it is' ELSE 'Semantic evaluation based on source evidence.' END AS short_explanation, CASE n WHEN 3 THEN 'scope' END AS contextual_difference FROM p"""
 ORACLES["document_exchange"] = ORACLES["seeded_store"]
+ORACLES["ground_notes"] = ORACLES["ground_scores"].rsplit("SELECT doc_id, score >= 0.7", 1)[0].replace("r AS (SELECT doc_id, ", "r AS (SELECT doc_id, none, ") + """, o AS (SELECT doc_id, regexp_replace(substr(text, 11, 60), '^\\s+|\\s+$', '', 'g') AS q, coalesce(text, '') = '' AS none FROM documents)
+  SELECT doc_id, md5(CASE WHEN none THEN 'No quote, or no page' WHEN score >= 0.7 THEN 'Found in parts: ' || round(score * 100, 1) || '% of the quote' ELSE 'Ungrounded: ' || round(score * 100, 1) || '% of the quote is on the page' END) AS note_md5, score = 1 AS whole FROM r
+  UNION ALL SELECT doc_id, md5(CASE WHEN none THEN 'No quote, or no page' ELSE q END), NOT none FROM o"""
+ORACLES["text_values"] = """SELECT p_partkey, NULL::double AS num, p_type || ' plating' AS text, CASE WHEN p_size % 3 = 2 THEN 'finish' ELSE 'text' END AS unit, 'text' AS value_type FROM part"""
