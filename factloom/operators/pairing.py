@@ -2,8 +2,9 @@
 
 Facts meet by comparison key. For two documents under one key, if they share a predicate, only facts of shared predicates are paired, the closest compatible pair of each; if they share none, all compatible pairs are.
 
-Everything up to the pairs of ids runs on a narrow table (key, document, predicate, type, number, order); whole facts are fetched by id at the end.
+Nearly all keys have few facts. These are brought together by key once, whole, and paired within a row. Which keys have more than SMALL facts is counted on hashes of keys alone; facts of these go the long way:
 
+- Everything up to the pairs of ids runs on a narrow table (key, document, predicate, type, number, order); whole facts are fetched by id at the end.
 - Documents meet by key. A key that many documents have is dealt over a grid of cells, rows on one side and columns on the other, by its frequency in a sketch of bounded size, so no task holds a hot key alone.
 - The closest pair of two short lists of numbers is found within a row that holds both. Longer lists are never compared pair by pair: both sides' numbers are sorted together, and the nearest number of the other side is the one below, the one above or, with the sign changed, the greatest or the least. Ranges of numbers are sorted apart, each with the nearest numbers of the ranges beside it, so a long list is dealt over tasks.
 - Where two documents share no predicate, pairs of ids are made in blocks of each document's facts.
@@ -50,21 +51,27 @@ def _fits(a: Column, b: Column) -> Column:
     return F.coalesce((a == b) | (a == "unknown") | (b == "unknown"), F.lit(False))
 
 
+def _kind(c: Column) -> Column:
+    return F.when(c.isin("numeric", "currency"), F.lit("number")).otherwise(c)
+
+
 def _tag(facts: DataFrame) -> Column:
     """A hash of the row but for its key, which is made anew: it tells facts of one id apart."""
     return F.xxhash64(*(c for c in facts.columns if c != "comparison_key")).alias("tag")
 
 
+def _given(facts: DataFrame) -> DataFrame:
+    """Facts that can be in a pair. The key is null where subject or predicate is; asked of the key, it would be computed once more."""
+    return facts.filter("id is not null and subject is not null and predicate is not null and source_document_id is not null")
+
+
 def narrow(facts: DataFrame) -> DataFrame:
     """What pairing needs of each fact."""
-    kind = F.when(F.col("value_type").isin("numeric", "currency"), F.lit("number")).otherwise(F.col("value_type"))
-    # The key is null where one of these is; asked of the key, it would be computed once more.
-    given = facts.filter("id is not null and subject is not null and predicate is not null and source_document_id is not null")
-    return given.select(
+    return _given(facts).select(
         comparison_key(F.col("subject"), F.col("predicate")).alias("_key"),
         F.col("source_document_id").alias("doc"),
         F.col("predicate").alias("pred"),
-        kind.alias("kind"),
+        _kind(F.col("value_type")).alias("kind"),
         F.col("norm_num").alias("num"),
         F.struct("source_filename", "page_number", "id", _tag(facts)).alias("at"),
     )
@@ -179,8 +186,62 @@ def _all_pairs(rest: DataFrame, n: DataFrame, docs: DataFrame, block: int = BLOC
     return cells.join(side("a"), ["_key", "da", "ba"]).join(side("b"), ["_key", "db", "bb"]).filter(_fits(F.col("ka"), F.col("kb"))).select("_key", "ata", "atb")
 
 
+def _by_key(facts: DataFrame) -> DataFrame:
+    """Facts with their keys, which come out of a generator, so that no plan makes them twice."""
+    return _given(facts).select("*", F.explode(F.array(comparison_key(F.col("subject"), F.col("predicate")))).alias("_key"))
+
+
+def large_keys(facts: DataFrame, small: int = SMALL) -> DataFrame:
+    """_hash of the keys of more facts than that."""
+    return _by_key(facts).groupBy(F.xxhash64("_key").alias("_hash")).count().filter(F.col("count") > small).select("_hash")
+
+
+def _pairs_in_row(v: Column) -> Column:
+    """Pairs of one key's facts, an array of structs (doc, pred, kind, num, n) in their order, as structs of two places in it.
+
+    A document comes first if its first fact does, so of two facts of different documents the one of the document whose first fact is at the lower place."""
+    slim = F.transform(v, lambda x: F.struct(x["doc"].alias("doc"), x["pred"].alias("pred")))
+    docs, lists = F.array_distinct(F.transform(slim, lambda x: x["doc"])), F.array_distinct(slim)
+    preds = lambda d: F.transform(F.filter(lists, lambda x: x["doc"] == d), lambda x: x["pred"])
+    # Every document with its predicates and its facts' places.
+    sides = F.transform(docs, lambda d, i: F.struct(i.alias("i"), preds(d).alias("preds"), F.filter(v, lambda x: x["doc"] == d).alias("v")))
+    meet = F.flatten(F.transform(sides, lambda a: F.transform(F.filter(sides, lambda b: a["i"] < b["i"]), lambda b: F.struct(a["v"].alias("a"), b["v"].alias("b"), F.array_intersect(a["preds"], b["preds"]).alias("shared")))))
+    both = lambda x, y: F.struct(x["n"].alias("a"), y["n"].alias("b"))
+    every = lambda m: F.flatten(F.transform(m["a"], lambda x: F.transform(F.filter(m["b"], lambda y: _fits(x["kind"], y["kind"])), lambda y: both(x, y))))
+    of = lambda c, p: F.filter(c, lambda x: x["pred"] == p)
+    ranked = lambda m, p: F.flatten(F.transform(of(m["a"], p), lambda x: F.transform(F.filter(of(m["b"], p), lambda y: _fits(x["kind"], y["kind"])), lambda y: F.struct(distance(x["num"], y["num"]).alias("d"), x["n"].alias("a"), y["n"].alias("b")))))
+    best = lambda m: F.transform(F.filter(F.transform(m["shared"], lambda p: F.array_min(ranked(m, p))), lambda x: x.isNotNull()), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    return F.flatten(F.transform(meet, lambda m: F.when(F.size(m["shared"]) > 0, best(m)).otherwise(every(m))))
+
+
+def _within_keys(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) of keys with few facts. Facts move once, whole, to their key's row, where they lie in their order."""
+    order = ("source_filename", "page_number", "id")
+    rest = [c for c in columns if c not in (*order, "comparison_key")]
+    own = keyed.select("_key", F.struct(*order, _tag(keyed.drop("_key")), *rest).alias("f"))
+    # Dealt before they are collected: lists of one fact each gain nothing from being made before the shuffle too.
+    rows = own.repartition("_key").groupBy("_key").agg(F.collect_list("f").alias("v")).filter(F.size("v") > 1)
+    rows = rows.select("_key", F.explode(F.array(F.sort_array(F.array_distinct("v")))).alias("v"))
+    slim = F.transform("v", lambda x, i: F.struct(x["source_document_id"].alias("doc"), x["predicate"].alias("pred"), _kind(x["value_type"]).alias("kind"), x["norm_num"].alias("num"), i.alias("n")))
+    rows = rows.select("_key", "v", F.explode(F.array(slim)).alias("s"))
+    found = rows.select("_key", "v", F.explode(_pairs_in_row(F.col("s"))).alias("p"))
+    found = found.select("_key", *(F.get("v", F.col(f"p.{x}")).alias(x) for x in "ab"))
+    return found.select(*(F.struct(*(F.col("_key").alias(c) if c == "comparison_key" else F.col(f"{x}.{c}").alias(c) for c in columns)).alias(x) for x in "ab"))
+
+
 def candidate_pairs(facts: DataFrame, small: int = SMALL) -> DataFrame:
     """Rows with two structs a and b; a is of the document that comes first under the key."""
+    keyed = _by_key(facts)
+    large = made_once(large_keys(facts, small))
+    if not large.limit(1).count():
+        return _within_keys(keyed, facts.columns)
+    of_large = F.xxhash64("_key") == F.col("_hash")
+    few = _within_keys(keyed.join(large, of_large, "left_anti"), facts.columns)
+    return few.unionByName(pairs_of_large_keys(keyed.join(large, of_large, "left_semi").select(*facts.columns), small))
+
+
+def pairs_of_large_keys(facts: DataFrame, small: int = SMALL) -> DataFrame:
+    """Candidate pairs, whatever number of facts a key has; facts are fetched by id once the pairs are known."""
     ids = pairs_of_ids(facts, small).select("_key", *(F.col(f"at{x}.{c}").alias(f"_{c}{x}") for x in "ab" for c in ("id", "tag")))
     for x in "ab":
         own = [f"_id{x}", f"_tag{x}"]

@@ -124,3 +124,22 @@ def test_odd_rows(spark):
     both = [fact("a", "1"), fact("a", "1"), fact("b", "2", predicate="q"), fact("b", "2", predicate="q"), fact("b", "2", predicate="q", norm_num=2.0)]
     assert sorted((r.a.id, r.b.norm_num) for r in candidate_pairs(spark.createDataFrame(both, SCHEMA)).collect()) == [("a", 1.0), ("a", 2.0)]
     assert candidate_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("seed,odd", [(1, True), (2, False), (5, True)])
+def test_keys_of_few_facts_against_plain(spark, seed, odd):
+    rows = random_facts(seed, odd=odd)
+    got = candidate_pairs(spark.createDataFrame(rows, SCHEMA), 1000).select("a.id", F.col("b.id").alias("b")).collect()
+    assert sorted(map(tuple, got)) == plain(rows)
+
+
+def test_keys_of_few_and_of_many_facts_together(spark):
+    rows = random_facts(6, 150) + [(f"g{i}", f"s{i // 2}", "aa", "numeric", float(i), "", f"d{i % 2}", f"n{i % 2}", 1) for i in range(40)]
+    got = candidate_pairs(spark.createDataFrame(rows, SCHEMA), 20).select("a.id", F.col("b.id").alias("b")).collect()
+    assert sorted(map(tuple, got)) == plain(rows)
+
+
+def test_facts_of_small_keys_move_once(spark):
+    df = spark.createDataFrame(random_facts(3, 40), SCHEMA).withColumn("evidence_quote", F.lit("q"))
+    plan = candidate_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
