@@ -1,6 +1,6 @@
 """A store as one JSON document: summary, one showcase of each kind, first facts, all facts, all relationships; and back.
 
-Every fact and every relationship is a line of its own. Spark writes the lines as sorted part files, whose concatenation is the document. One task copies them into one file in small pieces: the document is a single file by its nature, but nowhere in memory. Read again, it is split by lines like any text file, so no task has to hold it.
+Every fact and every relationship is a line of its own. Spark writes the lines as sorted part files, whose concatenation is the document. They are packed until one task copies them into one file in small pieces: the document is a single file by its nature, but nowhere in memory. Read again, it is split by lines like any text file, so no task has to hold it.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def export_document(store: FactStore, path: str) -> None:
     text = lambda s: spark.createDataFrame([(s,)], "line string").coalesce(1)
     sections = (_head(store, facts, edges), _lines(facts, _fact(), ORDER), text('],"relationships":['), _lines(edges, _edge(), ("id",)), text("]}"))
     for i, lines in enumerate(sections):
-        lines.write.text(f"{parts}/{i}")
+        lines.write.option("compression", "gzip").text(f"{parts}/{i}")
     qualified = lambda p: store._fs(p)[0].makeQualified(store._fs(p)[1]).toString()
     source, target = qualified(parts), qualified(path)
     n = len(sections)
@@ -107,7 +107,8 @@ def _joined(batches: Iterator[pa.RecordBatch], source: str, target: str, section
             for i in range(sections):
                 for f in sorted(files.get_file_info(fs.FileSelector(f"{at}/{i}")), key=lambda f: f.base_name):
                     if f.base_name.startswith("part-"):
-                        with files.open_input_stream(f.path) as stream:
+                        # Unpacked as its name says.
+                        with files.open_input_stream(f.path, compression="detect") as stream:
                             while piece := stream.read(_PIECE):
                                 sink.write(piece)
                                 size += len(piece)
