@@ -333,3 +333,16 @@ def test_seed_from_one_document(spark, tmp_path):
     assert sorted((r.id, r.norm_num, r.norm_text) for r in got.collect()) == [("a", 12.5, None), ("b", None, "in words")]
     r = one(edges)
     assert (r.relationship_type, r.fact_a.norm_num, r.fact_b.norm_text) == ("CONTRADICTS", 12.5, "in words")
+
+
+def test_a_quote_whose_parts_stand_on_the_page_is_not_whole(spark):
+    df = spark.createDataFrame([("alpha beta", "beta alpha"), ("alpha beta", "Alpha  beta"), ("page", "")], "page_text string, evidence_quote string")
+    assert [(g.score, g.is_whole) for g, in ground(df).select("grounding").collect()] == [(1.0, False), (1.0, True), (0.0, False)]
+
+
+def test_events_and_dropped_facts_wait_for_no_values(spark):
+    answers = spark.createDataFrame([("d", "f", 1, "page", "{}")], "document_id string, source_filename string, page_number int, text string, response string")
+    facts_, events = facts_from_answers(answers, filter_ungrounded=True)
+    assert "per\\s*cent" not in events._jdf.queryExecution().optimizedPlan().toString()
+    plan = facts_._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("per\\s*cent") < plan.index("Filter _settled_is_grounded")  # the filter is below, so it comes first
