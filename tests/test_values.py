@@ -63,3 +63,13 @@ def test_normalize(spark, at):
 def test_no_python_in_the_plan(spark):
     df = normalize_values(spark.range(3).select(F.col("id").cast("string").alias("raw_value"), F.lit("x").alias("raw_unit"), F.lit("q").alias("evidence_quote"), F.lit("c").alias("source_context")))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patterns_run_only_where_they_can_match(spark):
+    """A value without any mark of a magnitude costs no pattern of one, and none is run for currencies."""
+    plan = parse_values(spark.createDataFrame([("5",)], "raw string"), "raw")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?i)rs" not in plan and "(?i)\\$" not in plan
+    assert plan.count("CASE WHEN Contains") + plan.count("CASE WHEN (Contains") >= 6
+    odd = ["5 PER CENT", "5 Crores", "5 MN", "5 Lacs", "5 BILLION", "5K", "5 K", "rS5", "uSd 5", "İNR 5", "5 per  cent crore"]
+    got = parse_values(spark.createDataFrame(list(enumerate(odd)), "i int, raw string"), "raw").orderBy("i").select("value.num", "value.unit").collect()
+    assert [tuple(r) for r in got] == [(5.0, "percent"), (5.0, "INR crore"), (5.0, "million"), (5.0, "lakh"), (5.0, "billion"), (5000.0, "count"), (5000.0, "count"), (5.0, "INR"), (5.0, "USD"), (5.0, "count"), (5.0, "percent")]
