@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.shared import made_once
 from factloom.plans.pipeline import shared_dir
 
 
@@ -27,8 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_small(df: DataFrame, rows: int = 100_000) -> tuple[DataFrame, int]:
-    """As cut(), with the number of rows; no more partitions are left than rows need, so that small tables don't make many tiny shuffle files."""
-    c = cut(df)
+    """As made_once(), with the number of rows; no more partitions are left than rows need, so that small tables don't make many tiny shuffle files."""
+    c = made_once(df)
     n = c.count()
     return c.coalesce(n // rows + 1), n
 

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, cut_small, unused
+from factloom.llm.common import cut_small, unused
 from factloom.llm.components import components
+from factloom.operators.shared import made_once
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -272,11 +273,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    d = cut(sketched(docs))
+    d = made_once(sketched(docs))
     texts = d.groupBy("s1", "s2", "t").agg(F.min("doc_id").alias("d"), F.count("*").alias("c"))
     # A set's first hash is its node; both are compared wherever rows of a set meet.
-    sets = cut(texts.groupBy("s1", "s2").agg(F.min("d").alias("d"), F.count("*").alias("weight")).withColumn("node", F.col("s1")))
-    nodes = cut(d.filter("n > 0").groupBy(F.col("s1").alias("node")).agg(F.any_value("mh").alias("mh")))
+    sets = made_once(texts.groupBy("s1", "s2").agg(F.min("d").alias("d"), F.count("*").alias("weight")).withColumn("node", F.col("s1")))
+    nodes = made_once(d.filter("n > 0").groupBy(F.col("s1").alias("node")).agg(F.any_value("mh").alias("mh")))
     family = components(candidates(nodes, threshold, recall))
     family, _ = cut_small(family.join(sets.select(F.col("node").alias("id"), "weight", "s1", "s2"), "id").select(F.col("id").alias("node"), "root", "weight", "s1", "s2"))
     # The sets of these nodes alone are made again from their texts: one document of each.
@@ -308,7 +309,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The document of least doc_id of each class, with all its columns. Of rows with equal doc_id and text one stays."""
-    rows = cut(jaccard_join(docs, threshold, recall).groupBy("class_key", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    rows = made_once(jaccard_join(docs, threshold, recall).groupBy("class_key", "doc_id", "text_key").agg(F.count("*").alias("n")))
     id_, t, n = (unused(docs, c) for c in ("_id", "_t", "_n"))
     no_id = F.lit(-(1 << 62)).cast("long")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("b")

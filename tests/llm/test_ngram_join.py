@@ -116,3 +116,22 @@ def test_pairs_in_hot_buckets_split_to_the_full_depth(spark, monkeypatch):
         up[find(a)] = find(b)
     lost = sum(find(i) != find(pairs + i) for i in range(pairs))
     assert lost <= (1 - ngram_join.RECALL) * pairs
+
+
+def test_small_tables_leave_few_files(spark):
+    """A few rows dealt over many partitions: partitions without rows write nothing."""
+    import os
+    import tempfile
+
+    from factloom.llm.common import cut_small
+
+    before, at = spark.sparkContext.getCheckpointDir(), tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.setCheckpointDir(at)
+    try:
+        c, n = cut_small(spark.range(3).repartition(64, "id"))
+        files = [x for _, _, names in os.walk(at) for x in names if x.startswith("part-")]
+        assert n == 3 and sorted(r["id"] for r in c.collect()) == [0, 1, 2] and len(files) <= 4
+        assert c.rdd.getNumPartitions() == 1
+    finally:
+        if before:
+            spark.sparkContext.setCheckpointDir(before)
