@@ -1,11 +1,14 @@
 """A store as one JSON document: summary, one showcase of each kind, first facts, all facts, all relationships; and back.
 
 Every fact and every relationship is a line of its own. Spark writes the lines as sorted part files, whose concatenation is the document. They are packed until one task copies them into one file in small pieces: the document is a single file by its nature, but nowhere in memory. Read again, it is split by lines like any text file, so no task has to hold it.
+
+A document whose name ends with .gz stays packed: the part files are its members, as gzip allows, and a small table beside it tells where each begins, so that they are read in parallel. Without that table any reader of gzip reads it, in one task.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,13 +17,14 @@ from pyspark.sql import functions as F
 
 from factloom.functions.schemas import RELATIONSHIP_TYPES, TABLES
 from factloom.operators.shared import shared_dir
-from factloom.operators.store import FactStore, rebuilt_documents
+from factloom.operators.store import FactStore, save_with_documents
 from factloom.operators.views import summary
 
 SAMPLE = 15
 ORDER = ("source_filename", "page_number", "id")
 _NULLS = {"ignoreNullFields": "false"}
 _PIECE = 1 << 20
+MEMBERS = ".members"
 
 
 def _value(x: str = "") -> Column:
@@ -76,7 +80,7 @@ def _head(store: FactStore, facts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def export_document(store: FactStore, path: str) -> None:
-    """Writes the store as the JSON file path, in place of what is there. Facts are in the order of file, page and id, relationships in that of their ids. A showcase without a pair or event is null; an empty store has empty lists."""
+    """Writes the store as the JSON file path, packed if its name ends with .gz, in place of what is there. Facts are in the order of file, page and id, relationships in that of their ids. A showcase without a pair or event is null; an empty store has empty lists."""
     spark = store.spark
     parts = f"{shared_dir(spark)}/document-{uuid.uuid4().hex}"
     facts, edges = store.read("facts"), store.read("relationships")
@@ -87,12 +91,17 @@ def export_document(store: FactStore, path: str) -> None:
     qualified = lambda p: store._fs(p)[0].makeQualified(store._fs(p)[1]).toString()
     source, target = qualified(parts), qualified(path)
     n = len(sections)
-    spark.range(1).coalesce(1).mapInArrow(lambda batches: _joined(batches, source, target, n), "bytes long").collect()
+    packed = path.endswith(".gz")
+    members = spark.range(1).coalesce(1).mapInArrow(lambda batches: _joined(batches, source, target, n, packed), "at long, bytes long")
+    if packed:
+        members.write.mode("overwrite").parquet(f"{path}{MEMBERS}")
+    else:
+        members.collect()
     store.drop(parts)
 
 
-def _joined(batches: Iterator[pa.RecordBatch], source: str, target: str, sections: int) -> Iterator[pa.RecordBatch]:
-    """Copies the part files of all sections into one file, which gets its name when it is whole; run again, it starts anew."""
+def _joined(batches: Iterator[pa.RecordBatch], source: str, target: str, sections: int, packed: bool) -> Iterator[pa.RecordBatch]:
+    """Copies the part files of all sections into one file, which gets its name when it is whole; run again, it starts anew. Returns where each begins there and how long it is; unpacked, one row for all."""
     from pyarrow import fs
 
     files, at = fs.FileSystem.from_uri(source)
@@ -102,26 +111,64 @@ def _joined(batches: Iterator[pa.RecordBatch], source: str, target: str, section
         out, to = fs.FileSystem.from_uri(target)
         folder, name = to.rsplit("/", 1)
         out.create_dir(folder, recursive=True)
-        part, size = f"{folder}/.{name}-{uuid.uuid4().hex}", 0
+        part, size, starts = f"{folder}/.{name}-{uuid.uuid4().hex}", 0, [0]
         with out.open_output_stream(part) as sink:
             for i in range(sections):
                 for f in sorted(files.get_file_info(fs.FileSelector(f"{at}/{i}")), key=lambda f: f.base_name):
                     if f.base_name.startswith("part-"):
-                        # Unpacked as its name says.
-                        with files.open_input_stream(f.path, compression="detect") as stream:
+                        # Unpacked as its name says, if the document is to be plain.
+                        with files.open_input_stream(f.path, compression=None if packed else "detect") as stream:
                             while piece := stream.read(_PIECE):
                                 sink.write(piece)
                                 size += len(piece)
+                        if packed and size > starts[-1]:
+                            starts.append(size)
         out.move(part, to)
-        yield pa.RecordBatch.from_pydict({"bytes": pa.array([size], pa.int64())})
+        ends = starts[1:] if packed else [size]
+        yield pa.RecordBatch.from_pydict({"at": pa.array(starts[: len(ends)], pa.int64()), "bytes": pa.array([e - s for s, e in zip(starts, ends)], pa.int64())})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], source: str) -> Iterator[pa.RecordBatch]:
+    """Lines of the members that begin at these places of a packed document, piece by piece."""
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(source)
+    lines = lambda found: pa.RecordBatch.from_pydict({"value": pa.array(found, pa.binary()).cast(pa.string())})
+    for b in batches:
+        for row in b.to_pylist():
+            with files.open_input_file(path) as stream:
+                stream.seek(row["at"])
+                left, rest, gzip = row["bytes"], b"", zlib.decompressobj(wbits=31)
+                while left and (piece := stream.read(min(_PIECE >> 3, left))):
+                    left -= len(piece)
+                    *found, rest = (rest + gzip.decompress(piece)).split(b"\n")
+                    if found:
+                        yield lines(found)
+                if left or not gzip.eof:
+                    raise OSError(f"{source} ends within the member at {row['at']}")
+                if rest:
+                    yield lines([rest])
+
+
+def _text(store: FactStore, path: str) -> DataFrame:
+    """The document's lines; a packed one's by members, if the table of these is there and fits the file."""
+    spark, at = store.spark, f"{path}{MEMBERS}"
+    fs, place = store._fs(path)
+    if path.endswith(".gz") and "_SUCCESS" in store._names(at):
+        members = spark.read.schema("at long, bytes long").parquet(at)
+        said = members.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
+        if said["bytes"] == store._size(path):
+            source = fs.makeQualified(place).toString()
+            return members.repartition(said["n"]).mapInArrow(lambda batches: _unpacked(batches, source), "value string")
+    return spark.read.text(path)
 
 
 def seed_document(store: FactStore, path: str) -> None:
     """Fills a store from a document that export_document wrote: its lines are read in parallel, lists and all. (seed_from_document reads any such document, whole.)"""
-    spark = store.spark
     line = F.regexp_replace("value", "^,", "")
-    lines = spark.read.text(path).select(line.alias("line")).filter(F.col("line").startswith('{"id":'))
-    is_edge = F.get_json_object("line", "$.fact_a_id").isNotNull()
+    lines = _text(store, path).select(line.alias("line")).filter(F.col("line").startswith('{"id":'))
+    # The second field tells what a line is, so it need not be parsed for that.
+    is_edge = F.col("line").rlike(r'^\{"id":(?:null|"(?:[^"\\]++|\\.)*+"),"fact_a_id":')
     given = ",".join(f"{f.name}:{f.dataType.simpleString()}" if f.name != "norm_num" else "normalized_value:variant" for f in TABLES["facts"].fields if f.name != "norm_text")
     plain = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in TABLES["relationships"].fields if f.name not in ("fact_a", "fact_b"))
 
@@ -136,6 +183,5 @@ def seed_document(store: FactStore, path: str) -> None:
     edges = lines.filter(is_edge).select(F.from_json("line", f"struct<{plain},fact_a:struct<{given}>,fact_b:struct<{given}>>").alias("r"))
     rows = [F.col(f"r.{n}").alias(n) for n in TABLES["relationships"].fieldNames() if n not in ("fact_a", "fact_b")]
     side = lambda f: F.when(F.col(f"r.{f}").isNotNull(), F.struct(*fields(f"r.{f}"))).alias(f)
-    store.save("documents", rebuilt_documents(facts))
-    store.save("facts", facts)
+    save_with_documents(store, facts)
     store.save("relationships", edges.select(*rows, side("fact_a"), side("fact_b")))

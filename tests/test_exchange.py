@@ -1,6 +1,8 @@
 """A store as one JSON document and back."""
 
+import gzip
 import json
+import shutil
 
 from test_facts import fact, facts
 
@@ -52,3 +54,24 @@ def test_empty_store(spark, tmp_path):
     assert document["all_facts"] == [] == document["relationships"] == document["sample_extracted_facts"] and document["summary"]["facts_count"] == 0
     seed_document(store, str(tmp_path / "run.json"))
     assert store.read("facts").count() == 0
+
+
+def test_packed_document(spark, tmp_path):
+    """Members of gzip, read in parallel; without their table it is a gzip file still. What looks like another line's field is text."""
+    store = FactStore(spark, str(tmp_path / "a"))
+    own = [fact(f'f{i:02}","fact_a_id":', f"d{i % 3}", norm_num=i / 3, evidence_quote='ü\n{"id":"x","fact_a_id":1', page_number=i % 4 + 1) for i in range(40)]
+    store.save("facts", facts(spark, *own))
+    store.save("relationships", spark.createDataFrame([edge("r1", own[0], own[1], "CONTRADICTS", 0.5), edge("r2", own[2], own[3], "RECONCILABLE", 0.9)], RELATIONSHIP))
+    path = tmp_path / "run.json.gz"
+    for seeded in ("b", "c"):
+        export_document(store, str(path))
+        document = json.loads(gzip.decompress(path.read_bytes()))
+        assert len(document["all_facts"]) == 40 and [r["id"] for r in document["relationships"]] == ["r1", "r2"]
+        members = spark.read.parquet(f"{path}.members").orderBy("at").collect()
+        assert len(members) > 3 and sum(m.bytes for m in members) == path.stat().st_size
+        if seeded == "c":
+            shutil.rmtree(f"{path}.members")
+        other = FactStore(spark, str(tmp_path / seeded))
+        seed_document(other, str(path))
+        for name in ("facts", "relationships"):
+            assert sorted(map(repr, other.read(name).collect())) == sorted(map(repr, store.read(name).collect()))
